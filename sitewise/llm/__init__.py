@@ -6,9 +6,9 @@ gather what its modules register.
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import simhash_dedup, substring_dedup, suffix_dedup
 
-MODULES = (suffix_dedup,)
+MODULES = (suffix_dedup, substring_dedup, simhash_dedup)
 
 
 def queries():
