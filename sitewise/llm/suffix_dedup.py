@@ -45,14 +45,20 @@ def cut_bytes(min_bytes: int, gram: int):
     def cut(text: bytes):
         if len(text) < min_bytes:
             return None
-        least, first, n, twice = super_windows(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), min_bytes, gram, within=True)
-        return text, least, first, n, twice, first, first + n + (min_bytes - 1)
+        return super_windows(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), min_bytes, gram, within=True)
 
     return cut
 
 
+def byte_strings(min_bytes: int):
+    def strings(text: bytes, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+        return [text[a:b] for a, b in zip(first.tolist(), (first + n + (min_bytes - 1)).tolist())]
+
+    return strings
+
+
 def judge_bytes(min_bytes: int):
-    def judge(least, key, ver, first, n, twice, strings):
+    def judge(least, key, ver, first, n, strings):
         spans, rest, lasts = [], [], []
         seen: dict[bytes, int] = {}
         last = None
@@ -67,8 +73,6 @@ def judge_bytes(min_bytes: int):
             d = np.array(lasts)
             spans.append((key[d], ver[d], first[d], first[d] + n[d]))
         rest = np.array(rest)
-        same = least[rest[1:]] == least[rest[:-1]]
-        rest = rest[np.r_[same, False] | np.r_[False, same] | twice[rest]]  # groups of two strings or more, and strings with repeats of their own
         size = np.cumsum([len(strings[i]) + 1 for i in rest.tolist()])
         begin = 0
         while begin < len(rest):
@@ -101,9 +105,8 @@ def judge_bytes(min_bytes: int):
 
 def removed_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
     """``_key, _ver, start, stop``: byte runs of documents with ``identity`` columns to remove; of one document they may still overlap."""
-    w = min_bytes - gram + 1
-    expansion = (min_bytes - 1 + (w + 1) / 2) / ((w + 1) / 2)
-    spans = repeat_spans(docs, cut_bytes(min_bytes, gram), judge_bytes(min_bytes), expansion, across=False)
+    unit = (min_bytes - gram + 2) / 2
+    spans = repeat_spans(docs, cut_bytes(min_bytes, gram), byte_strings(min_bytes), judge_bytes(min_bytes), across=False, unit_bytes=unit)
     return spans.withColumn("stop", F.col("stop") + F.lit(min_bytes - 1))
 
 

@@ -2,20 +2,21 @@
 
 Used by the byte and the word operator.  Both follow one plan:
 
-1. A task reads documents in chunks.  Each window of a document has a
-   minimiser, the least hashed k-gram in it; consecutive windows that share
-   one occurrence of it form a super-window, cut out as one string.  Equal
-   windows have equal minimisers, so they always meet in one bucket.
-2. Inside a chunk only the earliest copy of a super-window goes on; windows of
-   later copies are repeats already.  A string that fills a third of the
-   corpus therefore reaches its bucket once a chunk, not once a document.
-3. Super-windows of a chunk travel packed by bucket, as one compressed value.
-   The number of buckets follows the corpus size, so that a bucket stays at
-   ``bucket_bytes`` on average.
+1. Each window of a document has a minimiser, the least hashed k-gram in it;
+   consecutive windows that share it form a super-window.  Equal windows have
+   equal minimisers.
+2. Minimisers travel to buckets, with their document and place but without
+   text.  Those found once are done: their windows can't repeat.  What a
+   chunk of documents shows to come twice needs no asking, so a minimiser
+   reaches its bucket once a chunk, even if a third of all documents hold it.
+3. The other super-windows are cut out of the documents.  Each travels as one
+   packed string to its minimiser's bucket; of equal strings in a chunk only
+   the earliest does, as windows of later copies are repeats already.
 4. A bucket finds repeats exactly (the operators differ here) and emits spans,
    which are joined to the documents by id.
 
-Chunk-local repeats travel as spans with the bucket of their chunk.
+What a chunk has for one bucket travels as one compressed value.  The number
+of buckets follows the corpus size, so a bucket's size does not.
 """
 
 from __future__ import annotations
@@ -29,9 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 24 << 20
-BUCKET_BYTES = 16 << 20
-PACKED = "bucket long, spans boolean, packed binary"
+#: Text that a task holds at once.
+CHUNK_BYTES = 8 << 20
+#: Mean size of a bucket of minimisers, in entries, and of one of strings, if all were candidates.
+BUCKET_ENTRIES = 400_000
+BUCKET_BYTES = 32 << 20
+#: Of minimisers 48 bits are compared; a chance match costs an exact comparison, nothing else.
+KEY_BITS = np.uint64(16)
+PACKED = "bucket long, done boolean, packed binary"
+ENTRIES = "_key long, _ver long, packed binary"
 SPANS = "_key long, _ver long, start long, stop long"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -86,7 +93,7 @@ def super_windows(values: np.ndarray, window: int, k: int, within: bool) -> tupl
             run = np.repeat(np.arange(len(first)), size)
             gram = np.arange(len(run)) - (np.cumsum(size) - size - first)[run]
             twice = np.bincount(run[h[gram] == least[first][run]], minlength=len(first)) > 1
-    return least[first], first, n, twice
+    return (least[first] >> KEY_BITS).astype(np.int64), first, n, twice
 
 
 def pack(columns: list[np.ndarray], text: bytes) -> bytes:
@@ -116,111 +123,187 @@ def merged(key: np.ndarray, ver: np.ndarray, start: np.ndarray, stop: np.ndarray
     return key[first], ver[first], start[first], reach[last] - doc[last] * lift
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Documents by (key, version), repeated rows once, in pieces of about CHUNK_BYTES."""
+def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[list[list]]:
+    """A batch's columns as Python lists, some rows at a time; strings as bytes."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in part.columns]
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of (key, version, text, ...) in order, repeated ones once, about CHUNK_BYTES of text at a time."""
     docs, size = {}, 0
     for batch in batches:
-        keys, vers, texts = (batch.column(i) for i in range(3))
-        for key, ver, text in zip(keys.to_pylist(), vers.to_pylist(), texts.cast(pa.binary()).to_pylist()):
-            docs[key, ver] = text
-            size += len(text)
-            if size >= CHUNK_BYTES:
-                yield docs
-                docs, size = {}, 0
+        for columns in pieces(batch):
+            for key, ver, text, *rest in zip(*columns):
+                docs[key, ver] = (text, *rest)
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield [(*k, *docs[k]) for k in sorted(docs)]
+                    docs, size = {}, 0
     if docs:
-        yield docs
-
-
-def packed_chunk(docs: dict, cut: Callable, n_buckets: int, across: bool) -> pa.RecordBatch:
-    """``cut(text)`` gives, for one document, its bytes and minimiser, first window, number of windows, whether the minimiser comes twice, first and last byte of each super-window.
-
-    ``across``: only a copy in a document of smaller id makes a repeat.
-    """
-    texts, cols = [], []
-    for key, ver in sorted(docs):
-        if (found := cut(docs[key, ver])) is not None:
-            data, least, first, n, twice, a, b = found
-            cols.append((least, np.full(len(first), len(texts)), first, n, twice, a, b))
-            texts.append((key, ver, data))
+        yield [(*k, *docs[k]) for k in sorted(docs)]
+
+
+def record(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+
+def packed_record(rows: list[tuple]) -> pa.RecordBatch:
+    return record(rows, ["bucket", "done", "packed"], [pa.int64(), pa.bool_(), pa.binary()])
+
+
+def runs_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each run of equal values."""
+    edges = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1], True]) if len(sorted_values) else np.zeros(1, int)
+    return edges[:-1], edges[1:]
+
+
+def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    order = np.argsort(bucket, kind="stable")
+    return [(int(bucket[order[lo]]), False, pack([c[order[lo:hi]] for c in columns], b"")) for lo, hi in zip(*(e.tolist() for e in runs_of(bucket[order])))]
+
+
+def ask(docs: list[tuple], cut: Callable, n_buckets: int, across: bool) -> pa.RecordBatch:
+    """Entries (minimiser, key, version, first window, number of windows, known to repeat) of one chunk, by bucket; entries settled here are done."""
+    cols = []
+    for i, (_, _, text) in enumerate(docs):
+        if (found := cut(text)) is not None:
+            least, first, n, twice = found
+            cols.append((least, np.full(len(least), i), first, n, twice))
+    if not cols:
+        return packed_record([])
+    least, doc, first, n, twice = (np.concatenate(c) for c in zip(*cols))
+    key, ver = (np.array([d[i] for d in docs], np.int64)[doc] for i in (0, 1))
+    order = np.argsort(least, kind="stable")  # rows stay in document order
+    least, key, ver, first, n, twice = (c[order] for c in (least, key, ver, first, n, twice))
+    lo, hi = runs_of(least)
+    known = key[lo] != key[hi - 1] if across else (hi - lo > 1) | np.logical_or.reduceat(twice, lo)
+    settled = np.repeat(known, hi - lo)
+    send = ~settled
+    send[lo[known]] = True
+    rows = by_bucket(least[send] % n_buckets, [c[send] for c in (least, key, ver, first, n, settled.astype(np.int64))])
+    if settled.any():
+        rows.append((int(least[0] % n_buckets), True, pack([c[settled] for c in (least, key, ver, first, n)], b"")))
+    return packed_record(rows)
+
+
+def answer(table: pa.Table, across: bool) -> pa.Table:
+    """Entries of one bucket whose minimiser comes twice, by document."""
+    repeated, asked = [], []
+    for done, value in zip(table.column("done").to_pylist(), table.column("packed").to_pylist()):
+        (repeated if done else asked).append(unpack(value)[0])
+    if asked:
+        least, key, ver, first, n, known = (np.concatenate(c) for c in zip(*asked))
+        order = np.lexsort((key, least)) if across else np.argsort(least, kind="stable")
+        least, key, ver, first, n, known = (c[order] for c in (least, key, ver, first, n, known))
+        lo, hi = runs_of(least)
+        again = (key[lo] != key[hi - 1] if across else hi - lo > 1) | (np.maximum.reduceat(known, lo) > 0)
+        take = np.repeat(again, hi - lo) & (known == 0)
+        repeated.append([c[take] for c in (least, key, ver, first, n)])
+    rows = []
+    if repeated:
+        least, key, ver, first, n = (np.concatenate(c) for c in zip(*repeated))
+        order = np.lexsort((ver, key))
+        entries = np.stack([least[order], first[order], n[order]], axis=1)
+        key, ver = key[order], ver[order]
+        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ver[1:] != ver[:-1]), True]) if len(key) else np.zeros(1, int)
+        rows = [(int(key[lo]), int(ver[lo]), entries[lo:hi].tobytes()) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return pa.Table.from_batches([record(rows, ["_key", "_ver", "packed"], [pa.int64(), pa.int64(), pa.binary()])])
+
+
+def send(docs: list[tuple], strings: Callable, n_buckets: int, across: bool) -> pa.RecordBatch:
+    """Strings of one chunk's candidates, by bucket, and spans of those that repeat another in the chunk."""
+    cols, texts, seen = [], [], {}
+    drop: list[bool] = []
+    for i, (key, _, text, packed) in enumerate(docs):
+        entries = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3)
+        entries = entries[np.unique(entries[:, 1], return_index=True)[1]]  # a row read twice answers twice
+        cols.append((entries, np.full(len(entries), i)))
+        for string in strings(text, entries[:, 1], entries[:, 2]):
+            owner = seen.setdefault(string, key)
+            drop.append(owner < key if across else owner is not key)
+            texts.append(string)
+            if not across:
+                seen[string] = None
+    if not texts:
+        return packed_record([])
+    entries, doc = (np.concatenate(c) for c in zip(*cols))
+    least, first, n = entries.T
+    key, ver = (np.array([d[i] for d in docs], np.int64)[doc] for i in (0, 1))
+    dropped = np.array(drop)
     rows = []
+    if dropped.any():
+        spans = merged(key[dropped], ver[dropped], first[dropped], (first + n)[dropped])
+        rows.append((int(least[0] % n_buckets), True, pack(list(spans), b"")))
+    keep = np.flatnonzero(~dropped)
+    keep = keep[np.argsort(least[keep] % n_buckets, kind="stable")]
+    for lo, hi in zip(*(e.tolist() for e in runs_of(least[keep] % n_buckets))):
+        o = keep[lo:hi]
+        parts = [texts[i] for i in o.tolist()]
+        rows.append((int(least[o[0]] % n_buckets), False, pack([least[o], key[o], ver[o], first[o], n[o], np.array([len(t) for t in parts])], b"".join(parts))))
+    return packed_record(rows)
+
+
+def decide(table: pa.Table, judge: Callable) -> pa.Table:
+    spans, cols, texts = [], [], []
+    for done, value in zip(table.column("done").to_pylist(), table.column("packed").to_pylist()):
+        columns, text = unpack(value)
+        if done:
+            spans.append(tuple(columns))
+        else:
+            cols.append(columns)
+            texts.append(text)
     if cols:
-        least, doc, first, n, self, a, b = (np.concatenate(c) for c in zip(*cols))
-        least = least.view(np.int64)
-        keys, vers = (np.array([t[i] for t in texts], np.int64) for i in (0, 1))
-        # only the earliest of equal strings in this chunk goes on
-        order = np.argsort(least, kind="stable")
-        same = least[order[1:]] == least[order[:-1]]
-        drop = np.zeros(len(least), bool)
-        seen: dict[bytes, int] = {}
-        twice = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
-        last = None
-        for i in order[twice].tolist():
-            if least[i] != last:
-                seen, last = {}, least[i]
-            string = texts[doc[i]][2][a[i] : b[i]]
-            j = seen.setdefault(string, i)
-            drop[i] = keys[doc[j]] < keys[doc[i]] if across else j != i
-        if drop.any():
-            d = doc[drop]
-            spans = merged(keys[d], vers[d], first[drop], (first + n)[drop])
-            rows.append((int(least[0] % n_buckets), True, pack(list(spans), b"")))
-            least, doc, first, n, self, a, b = (c[~drop] for c in (least, doc, first, n, self, a, b))
-        bucket = least % n_buckets
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            o = order[lo:hi]
-            text = b"".join([texts[d][2][s:e] for d, s, e in zip(doc[o].tolist(), a[o].tolist(), b[o].tolist())])
-            rows.append((int(bucket[o[0]]), False, pack([least[o], keys[doc[o]], vers[doc[o]], first[o], n[o], (b - a)[o], self[o]], text)))
-    names, kinds = ("bucket", "spans", "packed"), (pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=names)
+        least, key, ver, first, n, length = (np.concatenate(c) for c in zip(*cols))
+        offset = np.cumsum(length) - length
+        order = np.lexsort((first, ver, key, least))
+        least, key, ver, first, n, length, offset = (c[order] for c in (least, key, ver, first, n, length, offset))
+        new = np.r_[True, (least[1:] != least[:-1]) | (key[1:] != key[:-1]) | (ver[1:] != ver[:-1]) | (first[1:] != first[:-1])]  # a row read twice counts once
+        text = b"".join(texts)
+        strings = [text[s:e] for s, e in zip(offset[new].tolist(), (offset + length)[new].tolist())]
+        spans.append(judge(*(c[new] for c in (least, key, ver, first, n)), strings))
+    return span_table([s for s in spans if len(s[0])])
 
 
 def span_table(spans: list[tuple]) -> pa.Table:
-    cols = [np.concatenate(c) if spans else np.empty(0, np.int64) for c in (zip(*spans) if spans else [()] * 4)]
+    cols = [np.concatenate(c) for c in zip(*spans)] if spans else [np.empty(0, np.int64)] * 4
     return pa.table(dict(zip(("_key", "_ver", "start", "stop"), (pa.array(c, pa.int64()) for c in merged(*cols)))))
 
 
-def repeat_spans(docs: DataFrame, cut: Callable, judge: Callable, expansion: float, across: bool, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeat_spans(docs: DataFrame, cut: Callable, strings: Callable, judge: Callable, across: bool, unit_bytes: float) -> DataFrame:
     """Runs of window starts that are repeats, of documents with the columns of ``identity``: ``_key, _ver, start, stop``.
 
-    ``judge(least, key, ver, first, n, twice, strings)`` gets one bucket's rows,
-    sorted by minimiser and document order, and returns spans of repeats.
+    ``cut(text)``: minimiser, first window, number of windows of each
+    super-window, and whether its minimiser comes twice in it.
+    ``strings(text, first, n)``: their strings.
+    ``judge(least, key, ver, first, n, strings)``: the spans of repeats in one
+    bucket's rows, which are sorted by minimiser and document order.
+    ``across``: only windows in documents of smaller id make repeats.
+    ``unit_bytes``: text for each super-window, about.
     """
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_buckets = max(1, int(total * expansion / bucket_bytes))
-
-    def packed(batches):
-        for docs in chunks(batches):
-            yield packed_chunk(docs, cut, n_buckets, across)
-
-    def judged(table: pa.Table) -> pa.Table:
-        spans, cols, texts = [], [], []
-        for is_span, value in zip(table.column("spans").to_pylist(), table.column("packed").to_pylist()):
-            columns, text = unpack(value)
-            if is_span:
-                spans.append(tuple(columns))
-            else:
-                cols.append(columns)
-                texts.append(text)
-        if cols:
-            least, key, ver, first, n, length, self = (np.concatenate(c) for c in zip(*cols))
-            offset = np.r_[0, np.cumsum(length)[:-1]]
-            # a minimiser that came once stands for no repeat
-            order = np.argsort(least, kind="stable")
-            same = least[order[1:]] == least[order[:-1]]
-            order = order[np.r_[same, False] | np.r_[False, same] | (self[order] > 0)]
-            order = order[np.lexsort((first[order], ver[order], key[order], least[order]))]
-            if len(order):
-                least, key, ver, first, n, length, self, offset = (c[order] for c in (least, key, ver, first, n, length, self, offset))
-                again = np.r_[False, (least[1:] == least[:-1]) & (key[1:] == key[:-1]) & (ver[1:] == ver[:-1]) & (first[1:] == first[:-1])]
-                if again.any():  # the same row of the same document, read in two chunks
-                    least, key, ver, first, n, length, self, offset = (c[~again] for c in (least, key, ver, first, n, length, self, offset))
-                text = b"".join(texts)
-                spans.append(judge(least, key, ver, first, n, self > 0, [text[s:e] for s, e in zip(offset.tolist(), (offset + length).tolist())]))
-        return span_table([s for s in spans if len(s[0])])
-
-    return docs.mapInArrow(packed, PACKED).groupBy("bucket").applyInArrow(judged, SPANS)
+    n_keys = 1 + int(total / unit_bytes / BUCKET_ENTRIES)
+    n_strings = 1 + int(4 * total / BUCKET_BYTES)
+
+    def asked(batches):
+        for chunk in chunks(batches):
+            yield ask(chunk, cut, n_keys, across)
+
+    def answered(table: pa.Table) -> pa.Table:
+        return answer(table, across)
+
+    def sent(batches):
+        for chunk in chunks(batches):
+            yield send(chunk, strings, n_strings, across)
+
+    def decided(table: pa.Table) -> pa.Table:
+        return decide(table, judge)
+
+    entries = docs.mapInArrow(asked, PACKED).groupBy("bucket").applyInArrow(answered, ENTRIES)
+    entries = entries.groupBy("_key", "_ver").agg(F.collect_list("packed").alias("_packed"))
+    candidates = docs.join(entries, ["_key", "_ver"]).select("_key", "_ver", "_text", "_packed")
+    return candidates.mapInArrow(sent, PACKED).groupBy("bucket").applyInArrow(decided, SPANS)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
