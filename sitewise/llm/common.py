@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Sorts documents without an id after all others.
 NO_ID = (1 << 63) - 1
@@ -33,11 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, for tables of which later steps read a few columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +60,8 @@ def identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def others(docs: DataFrame, text_col: str) -> Column:
     """All columns but the text as one struct ``_row``, so that their names can't clash with an operator's."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("_row")
+
+
+def with_fields(df: DataFrame, **fields: DataType) -> StructType:
+    """The schema of ``df`` and more fields."""
+    return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in fields.items())])
