@@ -6,9 +6,9 @@ gather what its modules register.
 
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup, suffix_dedup
+from . import bpe_codec, language_id, line_dedup, media_columns, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup
 
-MODULES = (suffix_dedup, substring_dedup, simhash_dedup)
+MODULES = (quality_rules, suffix_dedup, packing, line_dedup, substring_dedup, language_id, simhash_dedup, media_columns, bpe_codec)
 
 
 def queries():
