@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import documents, identity, others
+from .common import documents, identity, others, with_fields
 from .windows import merged, mix, repeat_spans, super_windows, with_spans
 
 WINDOW = 13
@@ -139,7 +139,7 @@ def kept_words(text: bytes, spans: list | None) -> tuple[int, list[bytes], list[
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_row`` (the columns but the text), ``kept`` (words left, joined by a space; null for null text), ``removed`` (array of struct<start,stop> in words), ``n_words``."""
     mine = docs.select(others(docs, text_col), F.col(f"`{text_col}`").isNull().alias("_missing"), *identity(docs, id_col, text_col))
-    spans = removed_spans(mine.select("_key", "_ver", "_text"), window)
+    spans = removed_spans(mine, window)
     joined = with_spans(mine, spans).select("_row", "_text", "_spans", "_missing")
     run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -156,8 +156,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_row", "kept", "removed", "n_words"])
 
-    schema = joined.select("_row").schema
-    return joined.mapInArrow(strip, schema.add("kept", "string").add("removed", RUNS).add("n_words", "long"))
+    return joined.mapInArrow(strip, with_fields(joined.select("_row"), kept=StringType(), removed=RUNS, n_words=LongType()))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

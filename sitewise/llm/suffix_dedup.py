@@ -26,17 +26,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructType
 
 from .bwt import repeat_groups
-from .common import documents, identity, others
+from .common import documents, identity, others, with_fields
 from .windows import merged, repeat_spans, super_windows, with_spans
 
 MIN_BYTES = 100
 #: Length of the k-grams that minimisers are chosen from.
 GRAM = 32
 #: Bytes of candidates whose transform is built at once; groups of one minimiser stay whole.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 RUNS = ArrayType(StructType().add("start", "long").add("stop", "long"))
 SEPARATOR = b"\xff"  # never in UTF-8
 
@@ -129,7 +129,7 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
     ``with_kept_text`` makes documents of it.
     """
     mine = docs.select(others(docs, text_col), F.col(f"`{text_col}`").isNull().alias("_missing"), *identity(docs, id_col, text_col))
-    spans = removed_spans(mine.select("_key", "_ver", "_text"), min_bytes)
+    spans = removed_spans(mine, min_bytes)
     joined = with_spans(mine, spans).select("_row", "_text", "_spans", "_missing")
     run = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
@@ -146,8 +146,7 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", t
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_row", "kept", "removed", "n_bytes", "missing"])
 
-    schema = joined.select("_row").schema
-    return joined.mapInArrow(strip, schema.add("kept", "binary").add("removed", RUNS).add("n_bytes", "long").add("missing", "boolean"))
+    return joined.mapInArrow(strip, with_fields(joined.select("_row"), kept=BinaryType(), removed=RUNS, n_bytes=LongType(), missing=BooleanType()))
 
 
 def with_kept_text(deduped: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:

@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 #: Mean size of a bucket of minimisers, in entries, and of one of strings, if all were candidates.
 BUCKET_ENTRIES = 400_000
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Of minimisers 48 bits are compared; a chance match costs an exact comparison, nothing else.
 KEY_BITS = np.uint64(16)
 PACKED = "bucket long, done boolean, packed binary"
-ENTRIES = "_key long, _ver long, packed binary"
+ENTRIES = "least long, _key long, _ver long, first long, n long"
 SPANS = "_key long, _ver long, start long, stop long"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -189,7 +189,7 @@ def ask(docs: list[tuple], cut: Callable, n_buckets: int, across: bool) -> pa.Re
 
 
 def answer(table: pa.Table, across: bool) -> pa.Table:
-    """Entries of one bucket whose minimiser comes twice, by document."""
+    """Entries of one bucket whose minimiser comes twice."""
     repeated, asked = [], []
     for done, value in zip(table.column("done").to_pylist(), table.column("packed").to_pylist()):
         (repeated if done else asked).append(unpack(value)[0])
@@ -201,23 +201,16 @@ def answer(table: pa.Table, across: bool) -> pa.Table:
         again = (key[lo] != key[hi - 1] if across else hi - lo > 1) | (np.maximum.reduceat(known, lo) > 0)
         take = np.repeat(again, hi - lo) & (known == 0)
         repeated.append([c[take] for c in (least, key, ver, first, n)])
-    rows = []
-    if repeated:
-        least, key, ver, first, n = (np.concatenate(c) for c in zip(*repeated))
-        order = np.lexsort((ver, key))
-        entries = np.stack([least[order], first[order], n[order]], axis=1)
-        key, ver = key[order], ver[order]
-        edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (ver[1:] != ver[:-1]), True]) if len(key) else np.zeros(1, int)
-        rows = [(int(key[lo]), int(ver[lo]), entries[lo:hi].tobytes()) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist())]
-    return pa.Table.from_batches([record(rows, ["_key", "_ver", "packed"], [pa.int64(), pa.int64(), pa.binary()])])
+    columns = [np.concatenate(c) for c in zip(*repeated)] if repeated else [np.empty(0, np.int64)] * 5
+    return pa.table(dict(zip(("least", "_key", "_ver", "first", "n"), columns)))
 
 
 def send(docs: list[tuple], strings: Callable, n_buckets: int, across: bool) -> pa.RecordBatch:
     """Strings of one chunk's candidates, by bucket, and spans of those that repeat another in the chunk."""
     cols, texts, seen = [], [], {}
     drop: list[bool] = []
-    for i, (key, _, text, packed) in enumerate(docs):
-        entries = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 3)
+    for i, (key, _, text, found, *_) in enumerate(docs):
+        entries = np.array([(e["least"], e["first"], e["n"]) for e in found], np.int64)
         entries = entries[np.unique(entries[:, 1], return_index=True)[1]]  # a row read twice answers twice
         cols.append((entries, np.full(len(entries), i)))
         for string in strings(text, entries[:, 1], entries[:, 2]):
@@ -300,9 +293,11 @@ def repeat_spans(docs: DataFrame, cut: Callable, strings: Callable, judge: Calla
     def decided(table: pa.Table) -> pa.Table:
         return decide(table, judge)
 
-    entries = docs.mapInArrow(asked, PACKED).groupBy("bucket").applyInArrow(answered, ENTRIES)
-    entries = entries.groupBy("_key", "_ver").agg(F.collect_list("packed").alias("_packed"))
-    candidates = docs.join(entries, ["_key", "_ver"]).select("_key", "_ver", "_text", "_packed")
+    entries = docs.select("_key", "_ver", "_text").mapInArrow(asked, PACKED).groupBy("bucket").applyInArrow(answered, ENTRIES)
+    entries = entries.groupBy("_key", "_ver").agg(F.collect_list(F.struct("least", "first", "n")).alias("_entries"))
+    # all columns go on, so that this exchange of the documents is the one that with_spans needs too
+    rest = [c for c in docs.columns if c not in ("_key", "_ver", "_text")]
+    candidates = docs.join(entries, ["_key", "_ver"]).select("_key", "_ver", "_text", "_entries", *rest)
     return candidates.mapInArrow(sent, PACKED).groupBy("bucket").applyInArrow(decided, SPANS)
 
 
