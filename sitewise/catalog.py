@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from .plans import msa_queries, pair_queries
+
+MODULES = (msa_queries, pair_queries)
 
 
 def queries():

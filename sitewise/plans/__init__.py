@@ -1 +1 @@
-
+"""Fixtures, registered queries and the pipeline of stages."""

@@ -1 +1 @@
-
+"""The job log as a stream."""
