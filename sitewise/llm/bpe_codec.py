@@ -21,7 +21,6 @@ columns pass through; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from functools import lru_cache
 
@@ -35,7 +34,6 @@ from pyspark.sql.types import BinaryType, StringType
 from tokenizers import Tokenizer, models
 
 from .common import documents, others, with_fields
-from .windows import pieces
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHORT = 24
@@ -246,21 +244,9 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(batches):
-        for batch in batches:
-            for ids_of, ids, text in pieces(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids_of, pa.int64()),
-                        pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in text], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
     both = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
-    return both.select("_row.doc_id", "ids", "decoded").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return both.select("_row.doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op10_bpe_codec": op10_bpe_codec}

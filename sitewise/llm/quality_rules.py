@@ -189,9 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A chain of a sample, by hash of the id, of documents whose label (columns ``doc_id``, ``quality`` 0 or 1) is clear."""
     clear = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
     sizes = {r.q: r["count"] for r in clear.groupBy("q").count().collect()}
+    # about ``sample`` ids of either class, so the join can broadcast them whatever the tables' size
     share = F.when(F.col("q") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
     chosen = clear.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "q")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL").join(chosen, "doc_id").select("doc_id", "_text", "q")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "q")
 
     def run(batches):
         for batch in batches:
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 f, _ = line_features(text.encode())
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([q], pa.int32()), pa.array([f[:SAMPLE_LINES].ravel().tolist()], pa.list_(pa.float64()))], names=["doc_id", "q", "f"])
 
-    rows = texts.mapInArrow(run, "doc_id long, q int, f array<double>").orderBy("doc_id").toPandas()
+    rows = texts.mapInArrow(run, "doc_id long, q int, f array<double>").toPandas().sort_values("doc_id")
     return train([np.array(f, float).reshape(-1, len(FEATURES)) for f in rows["f"]], rows["q"].tolist())
 
 

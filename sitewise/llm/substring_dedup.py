@@ -172,7 +172,7 @@ QUERIES = {"op5_substring_dedup": op5_substring_dedup}
 ORACLE_SQL = {
     "op5_substring_dedup": """
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
 firsts AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s HAVING count(DISTINCT doc_id) > 1),
@@ -180,7 +180,7 @@ gone AS (
   SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (s) WHERE doc_id > d),
 gone_list AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_filter(w, (x, i) -> ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
+  sha256(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
 FROM words LEFT JOIN gone_list USING (doc_id)
 """
 }
