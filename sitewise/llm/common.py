@@ -11,6 +11,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 #: Sorts documents without an id after all others.
 NO_ID = (1 << 63) - 1
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, for tables of which later steps read a few columns."""
+    """``df`` written as Parquet to the shared folder and read again, for tables of which later steps read a few columns.
+
+    The job's shuffle files go once the table is written; a lost executor takes nothing along that later steps need.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # the plan is made under that setting
+        df.select("*").write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
