@@ -8,6 +8,7 @@ Method: super-k-mer partitioning (see ``windows``).  A window's minimiser is
 its least hashed run of ``GRAM`` words; consecutive windows that share it
 travel as one packed string to the minimiser's bucket, where the windows of
 strings from two or more documents are sorted and counted exactly, as bytes.
+Windows of a minimiser with too many different strings travel one by one.
 
 Defined results: null text has no words and stays null; texts of fewer words
 than a window are kept whole; rows of equal id never make each other's windows
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from .common import documents, identity, others, with_fields
-from .windows import merged, mix, repeat_spans, super_windows, with_spans
+from .windows import merged, mix, repeat_spans, super_windows, variants, with_spans
 
 WINDOW = 13
 #: Words in the runs that minimisers are chosen from.
@@ -57,11 +58,12 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 
 def cut_words(window: int, gram: int):
-    def cut(text: bytes):
+    def cut(text: bytes, hot: np.ndarray | None = None, sample: bool = False):
         words = text.split()
         if len(words) < window:
             return None
-        return super_windows(word_hashes(b" ".join(words)), window, gram, within=False)
+        values = word_hashes(b" ".join(words))
+        return variants(values, window, gram) if sample else super_windows(values, window, gram, False, hot)
 
     return cut
 

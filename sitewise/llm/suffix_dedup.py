@@ -30,22 +30,23 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, Stri
 
 from .bwt import repeat_groups
 from .common import documents, identity, others, with_fields
-from .windows import merged, repeat_spans, super_windows, with_spans
+from .windows import merged, repeat_spans, super_windows, variants, with_spans
 
 MIN_BYTES = 100
 #: Length of the k-grams that minimisers are chosen from.
 GRAM = 32
-#: Bytes of candidates whose transform is built at once; groups of one minimiser stay whole.
+#: Bytes of candidates whose transform is built at once; groups of one minimiser stay whole, and windows of hot ones are groups of their own.
 PIECE_BYTES = 1 << 20
 RUNS = ArrayType(StructType().add("start", "long").add("stop", "long"))
 SEPARATOR = b"\xff"  # never in UTF-8
 
 
 def cut_bytes(min_bytes: int, gram: int):
-    def cut(text: bytes):
+    def cut(text: bytes, hot: np.ndarray | None = None, sample: bool = False):
         if len(text) < min_bytes:
             return None
-        return super_windows(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), min_bytes, gram, within=True)
+        values = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+        return variants(values, min_bytes, gram) if sample else super_windows(values, min_bytes, gram, True, hot)
 
     return cut
 

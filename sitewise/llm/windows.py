@@ -12,16 +12,22 @@ Used by the byte and the word operator.  Both follow one plan:
 3. The other super-windows are cut out of the documents.  Each travels as one
    packed string to its minimiser's bucket; of equal strings in a chunk only
    the earliest does, as windows of later copies are repeats already.
+   Of a minimiser with too many different super-windows for one bucket, each
+   window goes its own way instead, by a hash of the whole window: equal
+   windows still meet, and others spread over all buckets.
 4. A bucket finds repeats exactly (the operators differ here) and emits spans,
    which are joined to the documents by id.
 
 What a chunk has for one bucket travels as one compressed value.  The number
-of buckets follows the corpus size, so a bucket's size does not.
+of buckets follows the corpus size, so a bucket's size does not.  Which
+minimisers are hot is estimated from a sample of super-windows of all
+documents; the choice decides the way windows travel, not the result.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +41,10 @@ CHUNK_BYTES = 8 << 20
 #: Mean size of a bucket of minimisers, in entries, and of one of strings, if all were candidates.
 BUCKET_ENTRIES = 400_000
 BUCKET_BYTES = 16 << 20
+#: Different super-windows of one minimiser that still meet in one bucket, in bytes of text, about; windows of hotter ones part.
+HOT_BYTES = 2 << 20
+#: One in so many pieces of text, of so many bytes, is looked at to find the hot minimisers.
+PIECES, PIECE = 64, 4 << 10
 #: Of minimisers 48 bits are compared; a chance match costs an exact comparison, nothing else.
 KEY_BITS = np.uint64(16)
 PACKED = "bucket long, done boolean, packed binary"
@@ -74,10 +84,12 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - width + span], h[width - span :]) if span < width else h
 
 
-def super_windows(values: np.ndarray, window: int, k: int, within: bool) -> tuple[np.ndarray, ...]:
+def super_windows(values: np.ndarray, window: int, k: int, within: bool, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Minimiser, first window, number of windows of each run of windows with one minimiser, and whether it comes twice in the run.
 
     Only then can the run hold a window twice; it is looked for if ``within``.
+    Runs of minimisers in ``hot`` are cut into single windows, with a hash of
+    the window in the minimiser's place.
     """
     w = window - k + 1
     h = gram_hashes(values, k)
@@ -93,7 +105,42 @@ def super_windows(values: np.ndarray, window: int, k: int, within: bool) -> tupl
             run = np.repeat(np.arange(len(first)), size)
             gram = np.arange(len(run)) - (np.cumsum(size) - size - first)[run]
             twice = np.bincount(run[h[gram] == least[first][run]], minlength=len(first)) > 1
-    return (least[first] >> KEY_BITS).astype(np.int64), first, n, twice
+    key = (least[first] >> KEY_BITS).astype(np.int64)
+    if hot is not None and len(hot) and (part := np.isin(key, hot)).any():
+        size = np.where(part, n, 1)
+        run = np.repeat(np.arange(len(first)), size)
+        part = part[run]
+        first = first[run] + np.arange(len(run)) - (np.cumsum(size) - size)[run]
+        whole = (gram_hashes(values, window)[first] >> KEY_BITS).astype(np.int64)
+        key, n, twice = np.where(part, whole, key[run]), np.where(part, 1, n[run]), np.where(part, False, twice[run])
+    return key, first, n, twice
+
+
+def hot_minimisers(docs: DataFrame, cut: Callable, most: float) -> np.ndarray:
+    """Minimisers with more than ``most`` different super-windows, about, in order."""
+    def sampled(batches):
+        for batch in batches:
+            for (texts,) in pieces(batch):
+                found = []
+                for text in texts:
+                    for at in range(0, len(text), PIECE):
+                        piece = text[at : at + PIECE]
+                        if zlib.crc32(piece) % PIECES == 0 and (entries := cut(piece, None, True)) is not None:
+                            found.append(np.array(entries))
+                if found:
+                    least, variant = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(least), pa.array(variant)], names=["least", "variant"])
+
+    variants = docs.select("_text").mapInArrow(sampled, "least long, variant long").distinct()
+    hot = variants.groupBy("least").count().where(F.col("count") > most / PIECES).select("least").collect()
+    return np.sort(np.array([r["least"] for r in hot], np.int64))
+
+
+def variants(values: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minimiser of each super-window, and a hash of its text."""
+    least, first, n, _ = super_windows(values, window, k, False)
+    whole = gram_hashes(values, window)
+    return least, mix(mix(whole[first]) + whole[first + n - 1] + n.astype(np.uint64)).astype(np.int64)
 
 
 def pack(columns: list[np.ndarray], text: bytes) -> bytes:
@@ -164,11 +211,11 @@ def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
     return [(int(bucket[order[lo]]), False, pack([c[order[lo:hi]] for c in columns], b"")) for lo, hi in zip(*(e.tolist() for e in runs_of(bucket[order])))]
 
 
-def ask(docs: list[tuple], cut: Callable, n_buckets: int, across: bool) -> pa.RecordBatch:
+def ask(docs: list[tuple], cut: Callable, n_buckets: int, across: bool, hot: np.ndarray | None = None) -> pa.RecordBatch:
     """Entries (minimiser, key, version, first window, number of windows, known to repeat) of one chunk, by bucket; entries settled here are done."""
     cols = []
     for i, (_, _, text) in enumerate(docs):
-        if (found := cut(text)) is not None:
+        if (found := cut(text, hot)) is not None:
             least, first, n, twice = found
             cols.append((least, np.full(len(least), i), first, n, twice))
     if not cols:
@@ -267,8 +314,9 @@ def span_table(spans: list[tuple]) -> pa.Table:
 def repeat_spans(docs: DataFrame, cut: Callable, strings: Callable, judge: Callable, across: bool, unit_bytes: float) -> DataFrame:
     """Runs of window starts that are repeats, of documents with the columns of ``identity``: ``_key, _ver, start, stop``.
 
-    ``cut(text)``: minimiser, first window, number of windows of each
-    super-window, and whether its minimiser comes twice in it.
+    ``cut(text, hot)``: minimiser, first window, number of windows of each
+    super-window, and whether its minimiser comes twice in it; of minimisers
+    in ``hot``, of each window.  ``cut(text, None, True)``: ``variants``.
     ``strings(text, first, n)``: their strings.
     ``judge(least, key, ver, first, n, strings)``: the spans of repeats in one
     bucket's rows, which are sorted by minimiser and document order.
@@ -278,10 +326,12 @@ def repeat_spans(docs: DataFrame, cut: Callable, strings: Callable, judge: Calla
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n_keys = 1 + int(total / unit_bytes / BUCKET_ENTRIES)
     n_strings = 1 + int(4 * total / BUCKET_BYTES)
+    most = HOT_BYTES / (4 * unit_bytes)
+    hot = hot_minimisers(docs, cut, most) if total / unit_bytes > most else None
 
     def asked(batches):
         for chunk in chunks(batches):
-            yield ask(chunk, cut, n_keys, across)
+            yield ask(chunk, cut, n_keys, across, hot)
 
     def answered(table: pa.Table) -> pa.Table:
         return answer(table, across)

@@ -1,6 +1,6 @@
 import random
 
-from sitewise.llm import substring_dedup
+from sitewise.llm import substring_dedup, windows
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -73,3 +73,34 @@ def test_empty_table_and_clashing_columns(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
     frame = spark.createDataFrame([(1, "x y", 5, "k")], "doc_id long, text string, _key long, kept string")
     assert substring_dedup.dedup(frame).collect()[0]._row.kept == "k"
+
+
+def hot_rows(n):
+    """Documents that share three words, each with its own text around them; some have a neighbour's text too."""
+    rng = random.Random(8)
+    words = min((f"one two {i}" for i in range(200)), key=lambda t: windows.gram_hashes(substring_dedup.word_hashes(t.encode()), 3)[0])
+    around = [(prose(rng, 14), prose(rng, 14)) for _ in range(n)]
+    rows = [(i, f"{a} {words} {b}") for i, (a, b) in enumerate(around)]
+    return rows + [(n + i, f"x{i} {around[i][0]} {words} {around[i][1]} y{i}") for i in range(0, n, 5)]
+
+
+def test_hot_minimiser_parts_into_windows(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PIECES", 1)
+    monkeypatch.setattr(windows, "HOT_BYTES", 20_000)
+    monkeypatch.setattr(windows, "BUCKET_BYTES", 4_000)
+    rows, cut = hot_rows(500), substring_dedup.cut_words(13, 3)
+    docs = spark.createDataFrame(rows, "_key long, _text string")
+    hot = windows.hot_minimisers(docs, cut, 60)
+    assert len(hot)
+
+    def largest(hot):
+        """Different strings of one key, at most."""
+        found: dict = {}
+        for _, text in rows:
+            least, first, n, _ = cut(text.encode(), hot)
+            for key, string in zip(least.tolist(), substring_dedup.word_strings(13)(text.encode(), first, n)):
+                found.setdefault(key, set()).add(string)
+        return max(map(len, found.values()))
+
+    assert largest(None) > 100 and largest(hot) <= 60
+    check(spark, rows)

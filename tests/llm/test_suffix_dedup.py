@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from sitewise.llm import suffix_dedup
+from sitewise.llm import suffix_dedup, windows
 from sitewise.llm.bwt import common_prefixes, dense, repeat_groups, sorted_suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -107,3 +107,32 @@ def test_query_digest(spark, tmp_path):
     for key, text in rows:
         n, removed, runs, kept = want[key, (text or "").encode()]
         assert (got[key].n_bytes, got[key].n_removed, got[key].n_spans, got[key].kept_sha256) == (n, removed, runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_hot_minimiser_parts_into_windows(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PIECES", 1)
+    monkeypatch.setattr(windows, "HOT_BYTES", 20_000)
+    monkeypatch.setattr(windows, "BUCKET_BYTES", 4_000)
+    rng = random.Random(9)
+    hashed = lambda t: windows.gram_hashes(np.frombuffer(t.encode(), np.uint8).astype(np.uint64) + np.uint64(1), 32).min()
+    line = min((f"licensed under the terms of licence {i};" for i in range(200)), key=hashed)
+    around = [(prose(rng, 20), prose(rng, 20)) for _ in range(300)]
+    rows = [(i, f"{a} {line} {b}") for i, (a, b) in enumerate(around)]
+    rows += [(300 + i, f"x {around[i][0]} {line} {around[i][1]} y") for i in range(0, 300, 5)]
+    rows += [(400, " ".join([rows[7][1]] * 3))]
+    cut = suffix_dedup.cut_bytes(100, 32)
+    docs = spark.createDataFrame(rows, "_key long, _text string")
+    hot = windows.hot_minimisers(docs, cut, 60)
+    assert len(hot)
+
+    def largest(hot):
+        """Different strings of one key, at most."""
+        found: dict = {}
+        for _, text in rows:
+            least, first, n, _ = cut(text.encode(), hot)
+            for key, string in zip(least.tolist(), suffix_dedup.byte_strings(100)(text.encode(), first, n)):
+                found.setdefault(key, set()).add(string)
+        return max(map(len, found.values()))
+
+    assert largest(None) > 100 and largest(hot) <= 60
+    check(spark, rows)
