@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import dihedral
+from .structure import state_runs
 
 
 def secondary_structure_clash(i: Column, j: Column, states: Column) -> Column:
@@ -94,13 +95,13 @@ def bin_weight(angle: Column, bins: list[tuple[float, float, float]], upper_clos
 
 
 def dihedral_scores(angles: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, n, alpha, beta``: number of angles and their summed weights as helix and as strand."""
+    """``keys, n, alpha, beta``: number of angles and their summed weights as helix and as strand, whatever they are angles of."""
     alpha, beta = bin_weight(F.col("dihedral"), HELIX_BINS, True), bin_weight(F.col("dihedral"), STRAND_BINS, False)
     return angles.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(alpha).alias("alpha"), F.sum(beta).alias("beta"))
 
 
 def strand_partners(strands: DataFrame, points: DataFrame, farthest: float = 7.0, most: int = 2) -> DataFrame:
-    """``chain, strand_1, strand_2, dist`` of strands whose nearest points are within reach; in order of distance a strand gets ``most`` partners.
+    """``chain, strand_1, strand_2, dist`` of strands whose nearest points are within reach; strand by strand, in order of distance, each gets ``most`` partners.
 
     strands: ``chain, strand, first, stop``; points: ``chain, pos, x, y, z``.
     Order decides, so a chain's strand pairs, a few dozen, are one group.
@@ -113,7 +114,7 @@ def strand_partners(strands: DataFrame, points: DataFrame, farthest: float = 7.0
     def greedy(group: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}
         keep = []
-        group = group.sort_values(["dist", "strand_1", "strand_2"])
+        group = group.sort_values(["strand_1", "dist", "strand_2"])
         for a, b in zip(group["strand_1"], group["strand_2"]):
             ok = used.get(a, 0) < most and used.get(b, 0) < most
             keep.append(ok)
@@ -124,6 +125,60 @@ def strand_partners(strands: DataFrame, points: DataFrame, farthest: float = 7.0
     return pairs.groupBy("chain").applyInPandas(greedy, pairs.schema)
 
 
+def alpha_dihedrals(points: DataFrame, residues: DataFrame) -> DataFrame:
+    """``chain, pos, dihedral`` of the helix positions of ``residues`` (``chain, pos, ss``)."""
+    return chain_dihedrals(points, ["chain"]).join(residues.where("ss = 'H'").select("chain", "pos"), ["chain", "pos"])
+
+
+def beta_dihedrals(points: DataFrame, residues: DataFrame, farthest: float = 7.0, original: bool = True) -> DataFrame:
+    """``chain, strand_1, strand_2, i, j, dihedral`` between paired strands.
+
+    A position's partner is the nearest of the other strand, of equally near
+    ones the first; positions from the first to the last with a partner within
+    reach count.  They vote whether the strands are parallel.  ``original``
+    votes and asks for points as the 2011 protocol does, whose choice differs
+    from the points of the angle; an angle that lacks a point is left out.
+    """
+    runs = state_runs(residues, ["chain"]).where("ss = 'E'")
+    strands = runs.select("chain", F.row_number().over(Window.partitionBy("chain").orderBy("first")).alias("strand"), "first", "stop")
+    here = points.select("chain", "pos", F.struct("x", "y", "z").alias("p"))
+    step = lambda n, name: here.select("chain", (F.col("pos") - n).alias("pos"), F.col("p").alias(name))
+    around = here.join(step(2, "up"), ["chain", "pos"], "left").join(step(-2, "down"), ["chain", "pos"], "left")
+    inside = strands.join(around, "chain").where("pos >= first AND pos < stop")
+    side = lambda k, pos: inside.select("chain", F.col("strand").alias(f"strand_{k}"), F.col("pos").alias(pos), *(F.col(c).alias(f"{c}_{k}") for c in ("p", "up", "down")))
+    far = lambda a, b: F.sqrt(sum(F.pow(F.col(f"{a}.{c}") - F.col(f"{b}.{c}"), F.lit(2)) for c in "xyz"))
+    pair = ["chain", "strand_1", "strand_2"]
+    both = strand_partners(strands, points, farthest).select(*pair).join(side(1, "i"), ["chain", "strand_1"]).join(side(2, "j"), ["chain", "strand_2"])
+    fields = F.struct(far("p_1", "p_2").alias("dist"), "j", "p_1", "up_1", "down_1", "p_2", "up_2", "down_2")
+    nearest = both.groupBy(*pair, "i").agg(F.min(fields).alias("m")).select(*pair, "i", "m.*")
+    whole = Window.partitionBy(*pair)
+    close = F.when(F.col("dist") <= farthest, F.col("i"))
+    near = nearest.select("*", F.min(close).over(whole).alias("_low"), F.max(close).over(whole).alias("_high")).where("i BETWEEN _low AND _high")
+    votes = F.col("up_1").isNotNull() & F.col("down_1").isNotNull() & F.col("up_2").isNotNull()
+    crossed = far("down_1", "up_2") if original else far("up_1", "down_2")
+    vote = F.when(votes, F.when(far("up_1", "up_2") <= crossed, 1).otherwise(-1)).otherwise(0)
+    parallel = F.sum(vote).over(whole) > 0
+    third = F.when(F.col("_parallel"), F.col("up_2")).otherwise(F.col("down_2"))
+    asked = F.when(F.col("_parallel"), F.col("up_1")).otherwise(F.col("down_1")).isNotNull() & F.col("up_2").isNotNull() if original else F.lit(True)
+    angles = near.select("*", parallel.alias("_parallel")).withColumn("third", third).where(asked & F.col("up_1").isNotNull() & F.col("third").isNotNull())
+    at = lambda c: tuple(F.col(f"{c}.{k}") for k in "xyz")
+    return angles.select(*pair, "i", "j", dihedral([at("p_1"), at("up_1"), at("third"), at("p_2")]).alias("dihedral"))
+
+
+def dihedral_ranking_score(points: DataFrame, residues: DataFrame, original: bool = True) -> DataFrame:
+    """``chain, n_alpha, alpha, n_beta, beta`` of each chain with points: angles in helices and between strands, and their weights.
+
+    points: ``chain, pos, x, y, z``, those without coordinates don't count; residues: ``chain, pos, ss``.
+    """
+    points = points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    kinds = (("alpha", alpha_dihedrals(points, residues)), ("beta", beta_dihedrals(points, residues, original=original)))
+    out = points.select("chain").distinct()
+    for kind, angles in kinds:
+        score = dihedral_scores(angles, ["chain"]).select("chain", F.col("n").alias(f"n_{kind}"), kind)
+        out = out.join(score, "chain", "left")
+    return out.na.fill(0, ["n_alpha", "n_beta"]).na.fill(0.0, ["alpha", "beta"])
+
+
 def disulfide_clashes(pairs: DataFrame) -> DataFrame:
     """``chain, i, j, score, cys_clash``: in order of score, a cysteine pair that shares a residue with an earlier accepted one clashes.
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,48 @@ def test_secondary_structure(spark):
     assert (got.n, round(got.alpha, 6), round(got.beta, 6)) == (3, 1.2, 1.0)
 
 
+def _angle(a, b, c, d):
+    b0, b1, b2 = (np.subtract(q, p) for p, q in ((a, b), (b, c), (c, d)))
+    n1, n2 = np.cross(b0, b1), np.cross(b1, b2)
+    return math.atan2(np.linalg.norm(b1) * (b0 @ n2), n1 @ n2)
+
+
+@pytest.mark.parametrize("parallel", [True, False])
+def test_dihedral_ranking_score(spark, parallel):
+    ss = "CC" + "H" * 6 + "CCCC" + "E" * 7 + "CCCC" + "E" * 7 + "CCC"
+    at = {p: (100.0 + 2.3 * math.cos(1.745 * p), 2.3 * math.sin(1.745 * p), 1.5 * p) for p in range(1, 12)}  # a helix that coil continues
+    for k in range(-2, 9):
+        at[13 + k] = (3.3 * k, 0.0, 0.3 * k)
+        at[24 + (k if parallel else 6 - k)] = (3.3 * k, 4.8, -0.3 * k)
+    points = spark.createDataFrame([(1, p, *map(float, c)) for p, c in at.items()] + [(2, 5, 0.0, 0.0, 0.0)], "chain long, pos long, x double, y double, z double")
+    residues = spark.createDataFrame([(c, p, s) for c in (1, 2) for p, s in enumerate(ss, 1)], "chain long, pos long, ss string")
+    helix = {(r.chain, r.pos): r.dihedral for r in O.alpha_dihedrals(points, residues).collect()}
+    assert helix.keys() == {(1, p) for p in range(3, 9)}
+    assert all(math.isclose(v, _angle(*(at[p + k] for k in (-1, 0, 1, 2))), abs_tol=1e-9) for (_, p), v in helix.items())
+    found = {r.i: (r.j, r.dihedral) for r in O.beta_dihedrals(points, residues).collect()}
+    assert found.keys() == set(range(13, 20))
+    for i, (j, angle) in found.items():
+        assert j == (i + 11 if parallel else 43 - i)
+        assert math.isclose(angle, _angle(at[i], at[i + 2], at[j + 2 if parallel else j - 2], at[j]), abs_tol=1e-9)
+    weight = lambda v, bins: sum(w for low, high, w in bins if low < v < high)
+    rows = {r.chain: r for r in O.dihedral_ranking_score(points, residues).collect()}
+    assert (rows[1].n_alpha, rows[1].n_beta) == (6, 7) and rows[2][1:] == (0, 0.0, 0, 0.0)
+    assert math.isclose(rows[1].alpha, sum(weight(v, O.HELIX_BINS) for v in helix.values()), abs_tol=1e-9)
+    assert math.isclose(rows[1].beta, sum(weight(v, O.STRAND_BINS) for _, v in found.values()), abs_tol=1e-9)
+
+
+def test_strands_take_partners_in_turn(spark):
+    """Strand 1 fills its two places first, though strands 3 and 4 lie closer to each other."""
+    where = {1: (0.0, 0.0), 2: (5.0, 0.0), 3: (0.0, 6.0), 4: (1.0, 6.5)}
+    strands = spark.createDataFrame([(1, s, s, s + 1) for s in where], "chain long, strand int, first long, stop long")
+    points = spark.createDataFrame([(1, s, x, y, 0.0) for s, (x, y) in where.items()], "chain long, pos long, x double, y double, z double")
+    got = {(r.strand_1, r.strand_2) for r in O.strand_partners(strands, points, 7.0, 1).collect()}
+    assert got == {(1, 2), (3, 4)}
+    where[2] = (-30.0, 0.0)
+    points = spark.createDataFrame([(1, s, x, y, 0.0) for s, (x, y) in where.items()], "chain long, pos long, x double, y double, z double")
+    assert {(r.strand_1, r.strand_2) for r in O.strand_partners(strands, points, 7.0, 1).collect()} == {(1, 3)}
+
+
 def test_alignment_files(spark, tmp_path):
     fasta = tmp_path / "a.fa"
     fasta.write_text(";comment\n>s1/1-4 x\nAC\nG-\n>s2/5-8\nACGT\n>s3\n")
