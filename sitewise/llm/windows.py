@@ -211,6 +211,12 @@ def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
     return [(int(bucket[order[lo]]), False, pack([c[order[lo:hi]] for c in columns], b"")) for lo, hi in zip(*(e.tolist() for e in runs_of(bucket[order])))]
 
 
+def anywhere(docs: list[tuple], n_buckets: int) -> int:
+    """A bucket for what a chunk has settled, which needs no meeting place: a hash of its first document, so chunks differ."""
+    key, ver = (np.array([docs[0][i]], np.int64).view(np.uint64) for i in (0, 1))
+    return int(mix(mix(key) + ver)[0] % np.uint64(n_buckets))
+
+
 def ask(docs: list[tuple], cut: Callable, n_buckets: int, across: bool, hot: np.ndarray | None = None) -> pa.RecordBatch:
     """Entries (minimiser, key, version, first window, number of windows, known to repeat) of one chunk, by bucket; entries settled here are done."""
     cols = []
@@ -231,7 +237,7 @@ def ask(docs: list[tuple], cut: Callable, n_buckets: int, across: bool, hot: np.
     send[lo[known]] = True
     rows = by_bucket(least[send] % n_buckets, [c[send] for c in (least, key, ver, first, n, settled.astype(np.int64))])
     if settled.any():
-        rows.append((int(least[0] % n_buckets), True, pack([c[settled] for c in (least, key, ver, first, n)], b"")))
+        rows.append((anywhere(docs, n_buckets), True, pack([c[settled] for c in (least, key, ver, first, n)], b"")))
     return packed_record(rows)
 
 
@@ -275,7 +281,7 @@ def send(docs: list[tuple], strings: Callable, n_buckets: int, across: bool) ->
     rows = []
     if dropped.any():
         spans = merged(key[dropped], ver[dropped], first[dropped], (first + n)[dropped])
-        rows.append((int(least[0] % n_buckets), True, pack(list(spans), b"")))
+        rows.append((anywhere(docs, n_buckets), True, pack(list(spans), b"")))
     keep = np.flatnonzero(~dropped)
     keep = keep[np.argsort(least[keep] % n_buckets, kind="stable")]
     for lo, hi in zip(*(e.tolist() for e in runs_of(least[keep] % n_buckets))):

@@ -104,3 +104,16 @@ def test_hot_minimiser_parts_into_windows(spark, monkeypatch):
 
     assert largest(None) > 100 and largest(hot) <= 60
     check(spark, rows)
+
+
+def test_settled_rows_of_like_chunks_go_to_many_buckets():
+    same = " ".join(f"w{i}" for i in range(40)).encode()
+    cut, strings = substring_dedup.cut_words(13, 3), substring_dedup.word_strings(13)
+    asked, sent = set(), set()
+    for at in range(0, 200, 2):
+        docs = [(at, 0, same), (at + 1, 0, same)]
+        asked |= {r["bucket"] for r in windows.ask(docs, cut, 50, True).to_pylist() if r["done"]}
+        least, first, n, _ = (x.tolist() for x in cut(same))
+        found = [{"least": a, "first": b, "n": c} for a, b, c in zip(least, first, n)]
+        sent |= {r["bucket"] for r in windows.send([(*d, found) for d in docs], strings, 50, True).to_pylist() if r["done"]}
+    assert len(asked) > 25 and len(sent) > 25
