@@ -1,8 +1,9 @@
 """Mean-field couplings: covariance of one-hot symbols, its inverse, and what follows from it.
 
 Counting is done in Spark.  The covariance matrix has (positions x (symbols -
-1)) rows, whatever the number of sequences; it is inverted in numpy on the
-driver, up to ``MOST_ROWS``, and handed back as a long table.
+1)) rows, whatever the number of sequences; up to ``MOST_ROWS``, one task
+inverts it (Spark's Python workers run BLAS on one thread), and the couplings
+come back as a long table.
 """
 
 from __future__ import annotations
@@ -29,37 +30,41 @@ def regularized_pairs(pairs: DataFrame, length: int, n_symbols: int, pseudo: flo
     return filled.select("i", "j", "a", "b", ((1 - pseudo) * F.coalesce("frequency", F.lit(0.0)) + pseudo / n_symbols**2).alias("frequency"))
 
 
-def covariance(pairs: DataFrame, sites: DataFrame, length: int, n_symbols: int) -> np.ndarray:
-    """The symmetric matrix over (position, symbol but the last), from regularised frequencies."""
+def covariance_blocks(pairs: DataFrame, sites: DataFrame, length: int, n_symbols: int) -> DataFrame:
+    """``i, j, v`` for i <= j: the covariance of all symbols but the last at two positions, row by row, from regularised frequencies."""
     q = n_symbols - 1
     if length * q > MOST_ROWS:
         raise ValueError(f"{length} positions of {n_symbols} symbols make a matrix of more than {MOST_ROWS} rows")
-    f = sites.where(F.col("sym") < q).toPandas()
-    one = np.zeros(length * q)
-    one[(f["pos"] - 1) * q + f["sym"]] = f["frequency"]
-    p = pairs.where((F.col("a") < q) & (F.col("b") < q)).toPandas()
-    matrix = np.zeros((length * q, length * q))
-    rows, columns = (p["i"] - 1) * q + p["a"], (p["j"] - 1) * q + p["b"]
-    matrix[rows, columns] = p["frequency"]
-    matrix[columns, rows] = p["frequency"]
-    for i in range(length):
-        at = slice(i * q, (i + 1) * q)
-        matrix[at, at] = np.diag(one[at])
-    return matrix - np.outer(one, one)
+    f = sites.where(F.col("sym") < q)
+    at = lambda pos, sym, name: f.select(F.col("pos").alias(pos), F.col("sym").alias(sym), F.col("frequency").alias(name))
+    # q rows a position: a table of at most MOST_ROWS rows
+    fi, fj = F.broadcast(at("i", "a", "fi")), F.broadcast(at("j", "b", "fj"))
+    apart = pairs.where((F.col("a") < q) & (F.col("b") < q)).select("i", "j", "a", "b", "frequency")
+    same = at("i", "a", "fa").join(fj.select(F.col("j").alias("i"), "b"), "i").select("i", F.col("i").alias("j"), "a", "b", F.when(F.col("a") == F.col("b"), F.col("fa")).otherwise(F.lit(0.0)).alias("frequency"))
+    cells = apart.unionByName(same).join(fi, ["i", "a"]).join(fj, ["j", "b"]).select("i", "j", "a", "b", (F.col("frequency") - F.col("fi") * F.col("fj")).alias("v"))
+    return cells.groupBy("i", "j").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "v"))), lambda c: c["v"]).alias("v"))
 
 
 def couplings(pairs: DataFrame, sites: DataFrame, length: int, n_symbols: int) -> DataFrame:
-    """``i, j, a, b, v`` with 0 for the last symbol: minus the inverse covariance."""
+    """``i, j, a, b, v`` with 0 for the last symbol: minus the inverse covariance, inverted in one task."""
     q = n_symbols - 1
-    inverse = -np.linalg.inv(covariance(pairs, sites, length, n_symbols))
-    full = np.zeros((length, n_symbols, length, n_symbols))
-    full[:, :q, :, :q] = inverse.reshape(length, q, length, q)
-    i, j = np.triu_indices(length, 1)
-    values = full.transpose(0, 2, 1, 3)[i, j]
-    a, b = np.divmod(np.arange(n_symbols * n_symbols), n_symbols)
-    n = n_symbols * n_symbols
-    table = pd.DataFrame({"i": np.repeat(i + 1, n), "j": np.repeat(j + 1, n), "a": np.tile(a, len(i)), "b": np.tile(b, len(i)), "v": values.reshape(-1)})
-    return sites.sparkSession.createDataFrame(table, "i int, j int, a int, b int, v double")
+
+    def invert(batches):
+        matrix = np.zeros((length, q, length, q))
+        for frame in batches:
+            for i, j, v in frame.itertuples(index=False):
+                block = np.asarray(v).reshape(q, q)
+                matrix[i - 1, :, j - 1] = block
+                matrix[j - 1, :, i - 1] = block.T
+        inverse = -np.linalg.inv(matrix.reshape(length * q, length * q)).reshape(length, q, length, q)
+        for i in range(length - 1):
+            full = np.zeros((length - 1 - i, n_symbols, n_symbols))
+            full[:, :q, :q] = inverse[i].transpose(1, 0, 2)[i + 1 :]
+            yield pd.DataFrame({"i": i + 1, "j": np.arange(i + 2, length + 1), "v": list(full.reshape(len(full), -1))})
+
+    blocks = covariance_blocks(pairs, sites, length, n_symbols).repartition(1).mapInPandas(invert, "i int, j int, v array<double>")
+    cells = blocks.select("i", "j", F.posexplode("v").alias("ab", "v"))
+    return cells.select("i", "j", F.floor(F.col("ab") / n_symbols).cast("int").alias("a"), (F.col("ab") % n_symbols).alias("b"), "v")
 
 
 def fields(model: DataFrame, sites: DataFrame, n_symbols: int) -> DataFrame:

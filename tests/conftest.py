@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is imported
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
