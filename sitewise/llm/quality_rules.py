@@ -6,10 +6,19 @@ least ``LEAST_SHARE`` of its words stand in content lines and the base rules
 don't fail it.
 
 The chain is trained here, by maximum conditional likelihood with the
-forward-backward recursion, on a bounded sample of labelled documents
-(``SAMPLE`` of each class, ``SAMPLE_LINES`` lines of each): lines of documents
-of quality 1 count as content, of quality 0 as boilerplate.  Only the sample's
-features come to the driver.  The weights are a few dozen numbers.
+forward-backward recursion, on whole texts of a bounded sample of labelled
+documents (``SAMPLE`` of each class).  Labels are of documents, states are of
+lines, and pages mix both, so
+
+* training sequences are spliced: runs of about ``RUN`` lines of documents of
+  either class follow each other in a seeded random order, and the chain sees
+  what a change of state looks like;
+* a line's state is latent: it starts as its document's label, and after each
+  of ``ROUNDS`` fits but the last, lines are decoded anew with the label as
+  noisy evidence, wrong for ``NOISE`` of the lines.
+
+Only the sample's features come to the driver.  The weights are a few dozen
+numbers.
 
 Base rules, over words ``[^\\x20\\x09-\\x0D]+``: ``n_words``, ``word_chars``,
 ``n_symbols`` (characters of ``#*$%&|<>``), ``n_dup_lines`` (lines with a word
@@ -19,9 +28,10 @@ that come twice or more, the first included).
 Defined results: null and blank texts have no words, fail the base rules and
 have share 0; without labels of both classes nothing is marked boilerplate;
 labels of null and of unknown documents are left out, and documents with
-contrary labels too; rows that repeat an id are judged each for itself; ties in
-decoding go to content; other columns pass through; an empty table gives an
-empty table.
+contrary labels too; of rows that repeat an id training takes one; rows that
+repeat an id are judged each for itself; ties in decoding go to content; texts
+and lines of any length are judged whole; other columns pass through, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,9 +46,13 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from .common import documents, others, with_fields
 
-#: Bounds of the training sample: documents of each class, lines of each document.
+#: Bound of the training sample: documents of each class.
 SAMPLE = 1500
-SAMPLE_LINES = 60
+RUN = 4
+ROUNDS = 3
+NOISE = 0.2
+#: Lines of a training sequence.
+SEQUENCE = 64
 LEAST_SHARE = 0.5
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -113,9 +127,11 @@ class Chain:
     def __init__(self, states: np.ndarray, moves: np.ndarray):
         self.states, self.moves = states, moves
 
-    def viterbi(self, features: np.ndarray) -> np.ndarray:
-        """The likeliest states; ties go to content."""
+    def viterbi(self, features: np.ndarray, evidence: np.ndarray | None = None) -> np.ndarray:
+        """The likeliest states, with ``evidence`` added to their scores if given; ties go to content."""
         emit = features @ self.states.T
+        if evidence is not None:
+            emit = emit + evidence
         n = len(emit)
         if not n:
             return np.empty(0, bool)
@@ -136,7 +152,7 @@ class Chain:
 
 
 def likelihood(chain: Chain, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean log likelihood of one state per document, ``y``, over padded lines (documents, lines, features), and its gradients."""
+    """Mean log likelihood of the states ``y`` (sequences, lines) of padded lines (sequences, lines, features), and its gradients."""
     docs, length, _ = x.shape
     emit = x @ chain.states.T
     alpha = np.zeros((docs, length, 2))
@@ -150,39 +166,58 @@ def likelihood(chain: Chain, x: np.ndarray, mask: np.ndarray, y: np.ndarray) ->
         step = np.logaddexp(chain.moves[:, 0] + ahead[:, 0, None], chain.moves[:, 1] + ahead[:, 1, None])
         beta[:, t] = np.where(mask[:, t + 1, None], step, 0)
     total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-    mine = np.zeros((docs, length, 2))
-    mine[np.arange(docs), :, y] = 1
-    score = (emit * mine * mask[:, :, None]).sum((1, 2)) + (mask.sum(1) - 1) * chain.moves[y, y]
+    mine = np.eye(2)[y] * mask[:, :, None]
+    both = np.einsum("dts,dtr->sr", mine[:, :-1], mine[:, 1:])  # the second line's mask is enough, lines being at the front
+    score = (emit * mine).sum((1, 2)).sum() + (both * chain.moves).sum()
     p = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
-    states = np.einsum("dts,dtf->sf", mine * mask[:, :, None] - p, x)
+    states = np.einsum("dts,dtf->sf", mine - p, x)
     pair = alpha[:, :-1, :, None] + chain.moves + (emit + beta)[:, 1:, None, :] - total[:, None, None, None]
     expected = (np.exp(pair) * mask[:, 1:, None, None]).sum((0, 1))
-    seen = np.zeros((2, 2))
-    for s in (0, 1):
-        seen[s, s] = (mask[y == s].sum(1) - 1).sum()
-    return float((score - total).mean()), states / docs, (seen - expected) / docs
-
-
-def train(documents_features: list[np.ndarray], quality: list[int], steps: int = STEPS) -> Chain:
+    return float((score - total.sum()) / docs), states / docs, (both - expected) / docs
+
+
+def spliced(lines: list[tuple[np.ndarray, np.ndarray]], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive lines of documents (features, states), in random order, as padded sequences: features, mask, states."""
+    rng = np.random.default_rng(seed)
+    runs = []
+    for f, y in lines:
+        at = 0
+        while at < len(f):
+            n = int(rng.integers(1, 2 * RUN))
+            runs.append((f[at : at + n], y[at : at + n]))
+            at += n
+    order = rng.permutation(len(runs))
+    f, y = (np.concatenate([runs[k][part] for k in order]) for part in (0, 1))
+    rows = -(-len(f) // SEQUENCE)
+    pad = rows * SEQUENCE - len(f)
+    mask = np.arange(rows * SEQUENCE) < len(f)
+    return np.pad(f, ((0, pad), (0, 0))).reshape(rows, SEQUENCE, -1), mask.reshape(rows, -1), np.pad(y, (0, pad)).reshape(rows, -1)
+
+
+def maximised(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int) -> Chain:
     """Gradient ascent with adaptive steps (Adam)."""
-    chain = Chain(np.zeros((2, len(FEATURES))), np.zeros((2, 2)))
-    kept = [(f[:SAMPLE_LINES], q) for f, q in zip(documents_features, quality) if len(f)]
-    if len({q for _, q in kept}) < 2:
-        return chain
-    length = max(len(f) for f, _ in kept)
-    x, mask = np.zeros((len(kept), length, len(FEATURES))), np.zeros((len(kept), length), bool)
-    for i, (f, _) in enumerate(kept):
-        x[i, : len(f)], mask[i, : len(f)] = f, True
-    y = np.array([q for _, q in kept])
-    weights = np.zeros(chain.states.size + 4)
+    weights = np.zeros(2 * x.shape[2] + 4)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
+    chain = lambda: Chain(weights[:-4].reshape(2, -1), weights[-4:].reshape(2, 2))
     for step in range(1, steps + 1):
-        chain = Chain(weights[:-4].reshape(2, -1), weights[-4:].reshape(2, 2))
-        _, states, moves = likelihood(chain, x, mask, y)
+        _, states, moves = likelihood(chain(), x, mask, y)
         g = np.r_[states.ravel(), moves.ravel()] - PENALTY * weights
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         weights = weights + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Chain(weights[:-4].reshape(2, -1), weights[-4:].reshape(2, 2))
+    return chain()
+
+
+def train(documents_features: list[np.ndarray], quality: list[int], steps: int = STEPS, rounds: int = ROUNDS) -> Chain:
+    kept = [(f, q) for f, q in zip(documents_features, quality) if len(f)]
+    if len({q for _, q in kept}) < 2:
+        return Chain(np.zeros((2, len(FEATURES))), np.zeros((2, 2)))
+    states = [np.full(len(f), q) for f, q in kept]
+    evidence = np.log([[1 - NOISE, NOISE], [NOISE, 1 - NOISE]])
+    for left in range(rounds - 1, -1, -1):
+        chain = maximised(*spliced([(f, y) for (f, _), y in zip(kept, states)]), steps)
+        if left:
+            states = [chain.viterbi(f, evidence[q]).astype(int) for f, q in kept]
+    return chain
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
@@ -192,13 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # about ``sample`` ids of either class, so the join can broadcast them whatever the tables' size
     share = F.when(F.col("q") == 1, min(1.0, sample / max(1, sizes.get(1, 0)))).otherwise(min(1.0, sample / max(1, sizes.get(0, 0))))
     chosen = clear.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "q")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "q")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "q").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("doc_id", "_text", "q")
 
     def run(batches):
         for batch in batches:
             for key, text, q in zip(*(c.to_pylist() for c in batch.columns)):
                 f, _ = line_features(text.encode())
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([q], pa.int32()), pa.array([f[:SAMPLE_LINES].ravel().tolist()], pa.list_(pa.float64()))], names=["doc_id", "q", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([q], pa.int32()), pa.array([f.ravel().tolist()], pa.list_(pa.float64()))], names=["doc_id", "q", "f"])
 
     rows = texts.mapInArrow(run, "doc_id long, q int, f array<double>").toPandas().sort_values("doc_id")
     return train([np.array(f, float).reshape(-1, len(FEATURES)) for f in rows["f"]], rows["q"].tolist())

@@ -44,7 +44,7 @@ def test_gradient():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4, 5, len(m.FEATURES)))
     mask = np.arange(5) < np.array([5, 1, 3, 4])[:, None]
-    y = np.array([0, 1, 1, 0])
+    y = rng.integers(0, 2, (4, 5))
     states, moves = rng.normal(size=(2, len(m.FEATURES))) / 3, rng.normal(size=(2, 2)) / 3
     _, gs, gm = m.likelihood(m.Chain(states, moves), x, mask, y)
     for target, g in ((states, gs), (moves, gm)):
@@ -87,6 +87,42 @@ def test_documents(spark):
             assert len(r.boilerplate) == (0 if r.kept else 5)
 
 
+def test_half_menu(spark):
+    """Only the menu lines of a page are marked, though every training document is of one kind."""
+    rng = random.Random(4)
+    menu = lambda: "\n".join(" | ".join(rng.choice(["Home", "Shop", "Login", "Help"]) + str(rng.randrange(9)) for _ in range(9)) for _ in range(6))
+    rows = [(i, clean(rng) if i % 2 else menu(), "k") for i in range(100)]
+    rows += [(200, menu() + "\n" + clean(rng) + "\n" + menu(), "k"), (201, clean(rng) + "\n\n" + menu() + "\n" + clean(rng), "k")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r._row.doc_id: r for r in m.judge(frame, m.fit(frame, labels)).collect()}
+    assert got[200].boilerplate == [*range(6), *range(10, 16)] and got[201].boilerplate == list(range(5, 11))
+    assert 0 < got[200].content_words < got[200].n_words
+    assert not got[200].kept and got[201].kept
+
+
+def test_repeated_ids_train_once(spark):
+    rng = random.Random(6)
+    rows = [(i, clean(rng) if i % 2 else junk(rng), "k") for i in range(40)] + [(1, clean(rng), "k")] * 50
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sizes = []
+    train = m.train
+    try:
+        m.train = lambda features, quality: sizes.append(len(features)) or train(features, quality, 2)
+        m.fit(spark.createDataFrame(rows, SCHEMA), labels)
+    finally:
+        m.train = train
+    assert sizes == [40]
+
+
+def test_very_long_text(spark):
+    text = "\n".join(["many words in one of the lines here."] * 50_000 + ["w" * 1_000_000])
+    frame = spark.createDataFrame([(1, text, "k")], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    r = m.judge(frame, m.fit(frame, labels)).first()
+    assert (r.n_words, r.n_dup_lines, r.base_failed) == (400_001, 49_999, True)
+
+
 def test_nothing_to_learn(spark):
     frame = spark.createDataFrame([(1, "plain words " * 9 + " ".join(map(str, range(80))), None)], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
