@@ -59,7 +59,15 @@ def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_key")
+
+
+def repeats_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    return docs.select(_key(id_col)).groupBy("_key").count().where("count > 1").limit(1).count() > 0
+
+
+def identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeated: bool | None = None) -> list[Column]:
     """Columns ``_key, _ver, _text`` of each row.
 
     ``_key`` is the id (NO_ID for null).  ``_ver`` is 0 where ids are unique; if
@@ -67,11 +75,10 @@ def identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text are told apart and rows that share both count as one document.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
-    ids = docs.select(key.alias("_key")).groupBy("_key").count()
-    repeated = ids.where("count > 1").limit(1).count() > 0
+    if repeated is None:
+        repeated = repeats_ids(docs, id_col)
     ver = F.xxhash64(text) if repeated else F.lit(0).cast("long")
-    return [key.alias("_key"), ver.alias("_ver"), text.alias("_text")]
+    return [_key(id_col), ver.alias("_ver"), text.alias("_text")]
 
 
 def others(docs: DataFrame, text_col: str) -> Column:
