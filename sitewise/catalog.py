@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import msa_queries, pair_queries
+from .plans import msa_queries, pair_queries, stage_queries
 
-MODULES = (msa_queries, pair_queries)
+MODULES = (msa_queries, pair_queries, stage_queries)
 
 
 def queries():

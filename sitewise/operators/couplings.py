@@ -69,10 +69,10 @@ def mad_score(ecs: DataFrame, score: str = "score", name: str = "mad_score") ->
 
 
 def precision(ecs: DataFrame, cutoff: float = 5.0, score: str = "score", least: int = 6, dist: str = "dist", ties: tuple = ("i", "j")) -> DataFrame:
-    """Share of pairs within ``cutoff`` among those of known distance, down to each row in order of score."""
+    """Share of pairs within ``cutoff`` among those of known distance, down to each row in order of score; null before the first."""
     rows = long_range(ecs, least)
     out = running_totals(rows, score, list(ties), {"_hits": (F.col(dist) <= cutoff).cast("long"), "_known": F.col(dist).isNotNull().cast("long")})
-    return out.withColumn("precision", F.col("_hits") / F.col("_known")).drop("_hits", "_known")
+    return out.withColumn("precision", F.try_divide("_hits", "_known")).drop("_hits", "_known")
 
 
 def with_distances(ecs: DataFrame, distances: DataFrame, name: str = "dist") -> DataFrame:

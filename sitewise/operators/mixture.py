@@ -93,12 +93,16 @@ def fit(histogram: pd.DataFrame, rounds: int = 200, tolerance: float = 1e-4) ->
     return p, scale, skew, mu, sigma
 
 
-def add_probability(ecs: DataFrame, score: str = "score", name: str = "probability") -> DataFrame:
-    """``ecs`` with the posterior probability of each score's being signal."""
+def score_bins(ecs: DataFrame, score: str) -> pd.DataFrame:
+    """Mean and count of the scores of each of ``BINS`` bins."""
     low, high = ecs.agg(F.min(score), F.max(score)).first()
     width = ((high - low) or 1.0) / BINS
-    bins = ecs.groupBy(F.floor((F.col(score) - low) / width).alias("bin")).agg(F.avg(score).alias("x"), F.count(score).alias("n")).orderBy("bin").toPandas()
-    parameters = fit(bins.dropna())
+    return ecs.groupBy(F.floor((F.col(score) - low) / width).alias("bin")).agg(F.avg(score).alias("x"), F.count(score).alias("n")).orderBy("bin").toPandas().dropna()
+
+
+def add_probability(ecs: DataFrame, score: str = "score", name: str = "probability") -> DataFrame:
+    """``ecs`` with the posterior probability of each score's being signal."""
+    parameters = fit(score_bins(ecs, score))
 
     def run(batches):
         for frame in batches:
@@ -106,3 +110,38 @@ def add_probability(ecs: DataFrame, score: str = "score", name: str = "probabili
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ecs.schema.fields)
     return ecs.mapInPandas(run, f"{fields}, `{name}` double")
+
+
+def fit_normal(histogram: pd.DataFrame, clamp_mean: bool = False, rounds: int = 2000) -> tuple[float, ...]:
+    """``mean, deviation, q, mu, sigma`` of a normal noise of weight q and a lognormal signal, of greatest likelihood; an error if no signal is left."""
+    x, n = histogram["x"].to_numpy(float), histogram["n"].to_numpy(float)
+    mean = (n * x).sum() / n.sum()
+    deviation = math.sqrt((n * (x - mean) ** 2).sum() / n.sum())
+    upper = x[np.argsort(x)][np.searchsorted(np.cumsum(n[np.argsort(x)]), 0.75 * n.sum())]
+
+    def cost(t: np.ndarray) -> float:
+        m, d, q, mu, sigma = t
+        if clamp_mean:
+            m = 0.0
+        if d <= 0 or sigma <= 0:
+            return math.inf
+        with np.errstate(all="ignore"):
+            density = q * np.exp(-(((x - m) / d) ** 2) / 2) / (d * math.sqrt(2 * math.pi)) + (1 - q) * log_normal(x, mu, sigma)
+            value = -(n * np.log(density)).sum()
+        return math.inf if math.isnan(value) else float(value)
+
+    best = simplex_minimum(cost, np.array([0.0, deviation, 0.95, upper - 0.4**2 / 2, 0.4]), rounds)
+    if clamp_mean:
+        best[0] = 0.0
+    if not best[2] < 1:
+        raise ValueError(f"no tail: the normal part has weight {best[2]}")
+    return tuple(map(float, best))
+
+
+def add_normal_probability(ecs: DataFrame, score: str = "score", name: str = "probability", clamp_mean: bool = False) -> DataFrame:
+    """``ecs`` with the posterior probability of the lognormal tail beside normal noise, as columns of the score."""
+    mean, deviation, q, mu, sigma = fit_normal(score_bins(ecs, score), clamp_mean)
+    x = F.col(score).cast("double")
+    density = lambda v, m, s: F.exp(-((v - m) / s) ** 2 / 2) / (s * math.sqrt(2 * math.pi))
+    signal = F.when(x > 0, (1 - q) * density(F.log(x), mu, sigma) / x).otherwise(0.0)
+    return ecs.withColumn(name, signal / (signal + q * density(x, mean, deviation)))
