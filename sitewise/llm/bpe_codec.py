@@ -37,7 +37,7 @@ from .common import documents, others, with_fields
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHORT = 24
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: Anything else is left to the library's normaliser.
 NOT_PLAIN = regex.compile(r"[^\t-\r -~¡-įı-ɏ]")
 _NONE = np.int32(1 << 30)

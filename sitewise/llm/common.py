@@ -11,10 +11,15 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 #: Sorts documents without an id after all others.
 NO_ID = (1 << 63) - 1
+BATCH_ROWS = 1000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; whole texts are long, so fewer rows travel to Python at once."""
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if not 0 < int(rows) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
