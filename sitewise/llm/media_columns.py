@@ -1,7 +1,8 @@
 """Media columns: interleaved sequences of text and media references.
 
 ``interleave`` parses HTML into one ordered array of structs, each a text or a
-reference to a medium by its SHA-256 digest, with the caption of its figure.
+reference to a medium: its source, the SHA-256 digest that names its payload
+(null if the source has none), and its figure's caption.
 ``store`` writes payloads as 8-bit grey images (binary PGM, ``WIDTH`` samples a
 row), padded with bytes 0 to a positive multiple of the width, in the shared
 folder.  ``resolve`` reads the stored bytes back, computes features, and joins
@@ -10,12 +11,16 @@ and one without a stored payload stays, with nulls.
 
 Payloads don't travel: a task writes what it has read, equal payloads of one
 task once.  Features of the copies of a digest are reduced to one row before
-the join, which moves digests and features only.
+the join, which moves digests and features only.  References to a digest that
+has over one in ``HOT`` of them (fewer than ``HOT`` digests) are dealt out in
+``SALTS`` parts, and its one row of features goes to each.
 
 Defined results: null text is an empty payload; equal texts have equal values;
 rows that repeat an id or a text are each a document; null or malformed HTML
-gives what can be parsed, null an empty array; an empty table gives an empty
-table; other columns pass through, whatever their names.
+gives what can be parsed, null an empty array; a caption goes to all media of
+its figure, before or after it, and takes the place of an ``alt`` text; long
+texts are stored whole; an empty table gives an empty table; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ from .common import documents, others, stash, with_fields
 from .windows import pieces
 
 WIDTH = 64
-SEGMENT = StructType().add("position", "integer").add("kind", "string").add("text", "string").add("digest", "string").add("caption", "string")
+HOT = 1024
+SALTS = 64
+SEGMENT = StructType().add("position", "integer").add("kind", "string").add("text", "string").add("digest", "string").add("source", "string").add("caption", "string")
 #: Elements whose text isn't content, and those that end a run of text.
 HIDDEN = {"script", "style", "template", "noscript"}
 BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "table", "section", "article", "figure", "figcaption", "blockquote", "pre", "hr", "body", "title"}
@@ -49,14 +56,28 @@ class Sequence(HTMLParser):
         self.segments: list[dict] = []
         self.run: list[str] = []
         self.hidden = 0
-        self.figure: list[dict] | None = None
-        self.caption: list[str] | None = None
+        self.figures: list[tuple[list[dict], list[str]]] = []
+        self.in_caption = False
+
+    def add(self, kind: str, text: str | None = None, digest: str | None = None, source: str | None = None, caption: str | None = None) -> dict:
+        self.segments.append({"position": len(self.segments), "kind": kind, "text": text, "digest": digest, "source": source, "caption": caption})
+        return self.segments[-1]
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
         self.run = []
         if text:
-            self.segments.append({"position": len(self.segments), "kind": "text", "text": text, "digest": None, "caption": None})
+            self.add("text", text)
+
+    def end_figure(self) -> None:
+        media, words = self.figures.pop()
+        caption = " ".join("".join(words).split())
+        if media and words:
+            for medium in media:
+                medium["caption"] = caption
+        elif caption:  # of no medium: content like any other
+            self.add("text", caption)
+        self.in_caption = False
 
     def handle_starttag(self, tag, attrs):
         if tag in BREAKS or tag in MEDIA:
@@ -64,43 +85,46 @@ class Sequence(HTMLParser):
         if tag in HIDDEN:
             self.hidden += 1
         elif tag == "figure":
-            self.figure = []
-        elif tag == "figcaption" and self.figure is not None:
-            self.caption = []
+            self.figures.append(([], []))
+        elif tag == "figcaption" and self.figures:
+            self.in_caption = True
         elif tag in MEDIA:
             attrs = dict(attrs)
-            digest = (attrs.get("src") or "").rpartition("sha256:")[2].lower()
-            if len(digest) == 64 and not set(digest) - set("0123456789abcdef"):
-                medium = {"position": len(self.segments), "kind": "media", "text": None, "digest": digest, "caption": attrs.get("alt")}
-                self.segments.append(medium)
-                if self.figure is not None:
-                    self.figure.append(medium)
+            source = attrs.get("src")
+            digest = (source or "").rpartition("sha256:")[2].lower()
+            known = len(digest) == 64 and not set(digest) - set("0123456789abcdef")
+            if source:
+                medium = self.add("media", digest=digest if known else None, source=source, caption=attrs.get("alt"))
+                if self.figures:
+                    self.figures[-1][0].append(medium)
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for medium in self.figure or ():
-                medium["caption"] = text
-            self.caption = None
-        elif tag == "figure":
-            self.figure = self.caption = None
+        elif tag == "figcaption":
+            self.in_caption = False
+        elif tag == "figure" and self.figures:
+            self.flush()
+            self.end_figure()
         if tag in BREAKS:
             self.flush()
 
     def handle_data(self, data):
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.hidden:
-            self.run.append(data)
+        if self.hidden:
+            return
+        (self.figures[-1][1] if self.in_caption and self.figures else self.run).append(data)
+
+    def close(self):
+        super().close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
 
 
 def segments(html: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
     return parser.segments
 
 
@@ -109,7 +133,7 @@ def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
     frame = pages.select(others(pages, html_col), F.col(f"`{html_col}`").alias("_html"))
 
     def run(batches):
-        segment = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+        segment = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("source", pa.string()), ("caption", pa.string())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -181,10 +205,21 @@ def features(stored: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(*(F.first(c).alias(c) for c in found.columns[1:]))
 
 
+def hot_digests(media: DataFrame) -> list[str]:
+    """Digests that have over one in ``HOT`` of all references."""
+    counts = media.where("digest IS NOT NULL").groupBy("digest").count()
+    total = media.count()
+    return [r.digest for r in counts.where(F.col("count") > max(SALTS, total / HOT)).collect()]  # fewer than HOT rows
+
+
 def resolve(sequences: DataFrame, known: DataFrame) -> DataFrame:
     """One row per media reference: ``_row``, ``position``, ``caption``, ``digest`` and the stored medium's features, null if there is none."""
     media = sequences.select("_row", F.explode(F.filter("sequence", lambda s: s["kind"] == "media")).alias("m"))
-    return media.select("_row", "m.position", "m.caption", "m.digest").join(known, "digest", "left")
+    media = stash(media.select("_row", "m.position", "m.caption", "m.digest"), "references")
+    hot = F.col("digest").isin(hot_digests(media))
+    salted = media.withColumn("_salt", F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = known.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, ["digest", "_salt"], "left").drop("_salt")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

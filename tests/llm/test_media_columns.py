@@ -1,10 +1,14 @@
 import hashlib
+import os
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from sitewise.llm import media_columns as m
 
+DATA = "/root/testdata/sf0.001"
 A, B = "a" * 64, "b" * 64
 
 
@@ -20,10 +24,21 @@ def test_segments():
         (3, "media", B, "A caption"),
         (4, "text", "tail", None),
         (5, "media", B, "alone"),
-        (6, "text", "end", None),
+        (6, "media", None, None),
+        (7, "text", "end", None),
     ]
+    assert m.segments(html)[6]["source"] == "http://elsewhere/x.png"
     assert m.segments(None) == [] and m.segments("") == []
-    assert [s["text"] for s in m.segments("<p>open <figure><figcaption>cut")] == ["open"]
+
+
+def test_captions():
+    before = m.segments(f"<figure><figcaption>first</figcaption><img src='sha256:{A}' alt='x'><img src='sha256:{B}'></figure>after")
+    assert [(s["kind"], s["digest"], s["caption"], s["text"]) for s in before] == [("media", A, "first", None), ("media", B, "first", None), ("text", None, None, "after")]
+    inner = m.segments(f"<figure><img src='sha256:{A}'><figure><img src='sha256:{B}'><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>")
+    assert [s["caption"] for s in inner] == ["out", "in"]
+    # a caption without media is text, an open figure ends with the page
+    assert [s["text"] for s in m.segments("<p>open <figure><figcaption>cut")] == ["open", "cut"]
+    assert [s["text"] for s in m.segments("<figure><figcaption>a<script>x</script> b</figcaption></figure>c")] == ["a b", "c"]
 
 
 def test_round_trip():
@@ -39,6 +54,35 @@ def test_unresolved_and_order(spark):
     assert [(r._row.page_id, r._row.digest, r.position, r.caption, r.n_bytes) for r in got] == [(1, "k", 1, "c", 3), (1, "k", 3, None, None)]
 
 
+def test_hot_digest(spark, monkeypatch):
+    """References to a frequent payload are dealt out and all resolved."""
+    monkeypatch.setattr(m, "HOT", 8)
+    monkeypatch.setattr(m, "SALTS", 4)
+    name = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = ["hot"] * 60 + [f"cold {i}" for i in range(40)]
+    pages = spark.createDataFrame([(i, f"<img src='sha256:{name(t)}'>") for i, t in enumerate(texts)], "page_id long, html string").repartition(3)
+    known = m.features(m.store(spark.createDataFrame([(t,) for t in texts], "payload string")))
+    sequences = m.interleave(pages)
+    references = sequences.selectExpr("inline(sequence)")
+    assert m.hot_digests(references) == [name("hot")]
+    got = m.resolve(sequences, known).collect()
+    assert sorted((r._row.page_id, r.digest, r.n_bytes) for r in got) == [(i, name(t), len(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables needed")
+def test_pages(spark):
+    """Raw pages: every medium of the page stands in its sequence, in order, and no tag is left in a text."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    rows = m.interleave(pages).collect()
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert len(rows) == len(html)
+    for r in rows:
+        sources = re.findall(r"<(?:img|audio|video|source|embed)\b[^>]*?\ssrc=[\"']?([^\"'\s>]+)", html[r._row.page_id] or "")
+        assert [s.source for s in r.sequence if s.kind == "media"] == sources
+        assert [s.position for s in r.sequence] == list(range(len(r.sequence)))
+        assert all(s.text and "<p>" not in s.text for s in r.sequence if s.kind == "text")
+
+
 def test_query(spark, tmp_path):
     texts = [(1, "héllo"), (2, None), (3, ""), (4, "héllo"), (5, "long " * 5000), (6, "x\0"), (7, "x"), (1, "twice"), (None, "no id")]
     spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
