@@ -131,6 +131,14 @@ def cumulative(rows: DataFrame, value: str, ties: list[str]) -> DataFrame:
     return ranked(rows, value, ties, "below", descending=False).withColumn("below", F.col("below") - 1)
 
 
+def job_summary(ecs: DataFrame, keys: list[str], order: list, significant: Column, hit: Column, at: int) -> DataFrame:
+    """Per job: pairs, significant ones, and the precision at rank ``at``."""
+    by_rank = Window.partitionBy(*keys).orderBy(*order)
+    upto = by_rank.rowsBetween(Window.unboundedPreceding, 0)
+    rows = ecs.withColumns({"_rank": F.row_number().over(by_rank), "_precision": F.try_divide(F.sum(hit.cast("long")).over(upto), F.count("dist").over(upto)), "_significant": significant})
+    return rows.groupBy(*keys).agg(F.count("*").alias("num_pairs"), F.sum(F.col("_significant").cast("long")).alias("num_significant"), F.max(F.when(F.col("_rank") == at, F.col("_precision"))).alias("precision"))
+
+
 def complex_summary(ecs: DataFrame, keys: list[str], order: Column, significant: Column, hit: Column, at: int) -> DataFrame:
     """Per job: pairs, significant ones between segments, rank of the first pair between segments, and precision of those within, at rank ``at``."""
     by_rank = Window.partitionBy(*keys).orderBy(order, "i", "j")

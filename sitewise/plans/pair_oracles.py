@@ -105,7 +105,7 @@ SELECT l_orderkey, string_agg(wt || pos || subs, ',' ORDER BY l_linenumber, wt |
     + """, t AS (SELECT pos, sym FROM msa WHERE seq_idx = 0),
 flip AS (SELECT * FROM couplings UNION ALL SELECT j, i, b, a, v FROM couplings),
 s AS (SELECT i, a, sum(v) AS v FROM (SELECT i, a, v FROM fields UNION ALL SELECT i, a, v FROM flip JOIN t ON t.pos = j AND t.sym = b) GROUP BY i, a),
-mu AS (SELECT l_orderkey AS mutant, CAST(l_partkey % 32 + 32 * (l_linenumber - 1) + 1 AS INT) AS p, CAST(l_suppkey % 4 + 1 AS INT) AS subs FROM lineitem WHERE l_linenumber <= 2),
+mu AS (SELECT l_orderkey AS mutant, CAST(l_partkey % 9 + 9 * (l_linenumber - 1) + 1 AS INT) AS p, CAST(l_suppkey % 4 + 1 AS INT) AS subs FROM lineitem),
 mt AS (SELECT mutant, p, sym AS wt, subs FROM mu JOIN t ON t.pos = p),
 one AS (SELECT mutant, coalesce(n.v, 0) - coalesce(o.v, 0) AS d FROM mt LEFT JOIN s n ON n.i = p AND n.a = subs LEFT JOIN s o ON o.i = p AND o.a = wt),
 two AS (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import columns as K
 from ..operators import alignment as A
@@ -12,6 +11,7 @@ from ..operators import folding as O
 from ..operators import mixture as X
 from ..operators import mutation as U
 from ..operators import pairing as P
+from ..operators import scoring as G
 from ..operators import structure as S
 from ..streaming.jobs import latest_states
 from .fixtures import atoms, ecs, genes, hits, msa_rows, table
@@ -164,11 +164,7 @@ def inter_min(spark, d):
 
 
 def multimer_min(spark, d):
-    rows = _models(spark, d)
-    a, b = rows.select("model", "residue", "x", "y", "z", "chain"), rows.select("model", F.col("residue").alias("residue_2"), *(F.col(c).alias(f"{c}_2") for c in ("x", "y", "z", "chain")))
-    both = a.join(b, "model").where("chain < chain_2")
-    pairs = both.groupBy(F.col("residue").alias("i"), F.col("residue_2").alias("j")).agg(F.min(S._distance()).alias("dist"))
-    return S.symmetric(pairs).select("i", "j", r6("dist"))
+    return S.multimer_min(_models(spark, d), ["model"]).select("i", "j", r6("dist"))
 
 
 def combined_maps(spark, d):
@@ -199,11 +195,11 @@ def mutants_split(spark, d):
 
 
 def mutant_delta(spark, d):
-    """Two substitutions of the first sequence for each supplier's first order lines, under the log-odds model."""
+    """A substitution of the first sequence for each line of an order, each in a stretch of its own, under the log-odds model."""
     rows = msa_rows(spark, d)
     fields, couplings = U.log_odds_model(A.pair_frequencies(rows), A.site_frequencies(rows, 5))
     target = A.cells(rows.where("seq_idx = 0")).select("pos", "sym")
-    items = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("mutant"), (F.col("l_partkey") % 32 + 32 * (F.col("l_linenumber") - 1) + 1).cast("int").alias("pos"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("subs"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("mutant"), (F.col("l_partkey") % 9 + 9 * (F.col("l_linenumber") - 1) + 1).cast("int").alias("pos"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("subs"))
     wild = target.select("pos", F.col("sym").alias("wt"))
     return U.mutant_effects(items.join(wild, "pos").select("mutant", "pos", "wt", "subs"), target, fields, couplings).select("mutant", r6("effect"))
 
@@ -277,10 +273,8 @@ def job_latest(spark, d):
 def job_summary(spark, d):
     """Per job (supplier): significant long-range pairs and the precision at the tenth row."""
     rows = C.long_range(ecs(spark, d)).withColumn("job", F.col("l_suppkey"))
-    order = Window.partitionBy("job").orderBy(F.desc("score"), *TIES)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    known = rows.select("job", "score", F.row_number().over(order).alias("rank"), (F.sum((F.col("dist") <= 10).cast("long")).over(upto) / F.count("dist").over(upto)).alias("precision"))
-    return known.groupBy("job").agg(F.count("*").alias("num_pairs"), F.sum((F.col("score") >= 90000).cast("long")).alias("num_significant"), F.round(F.max(F.when(F.col("rank") == 10, F.col("precision"))), 6).alias("precision"))
+    found = G.job_summary(rows, ["job"], [F.desc("score"), *TIES], F.col("score") >= 90000, F.col("dist") <= 10, 10)
+    return found.select("job", "num_pairs", "num_significant", r6("precision"))
 
 
 QUERIES = {

@@ -106,7 +106,8 @@ def read_alignment(spark: SparkSession, path: str, fmt: str | None = None) -> Da
     rows = read_fasta(spark, path).select(F.split("header", r"\s+")[0].alias("seq_id"), "seq")
     if fmt == "a3m":
         rows = a3m_to_a2m(rows, rows.first().seq)
-    return rows.groupBy("seq_id").agg(F.last("seq").alias("seq"))
+    # records are numbered as they are read, before any shuffle
+    return rows.withColumn("_n", F.monotonically_increasing_id()).groupBy("seq_id").agg(F.max_by("seq", "_n").alias("seq"))
 
 
 def with_ranges(sequences: DataFrame) -> DataFrame:
