@@ -15,11 +15,15 @@ BATCH_ROWS = 1000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; whole texts are long, so fewer rows travel to Python at once."""
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: at most ``BATCH_ROWS`` rows travel to Python at once, for the executors' memory."""
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     if not 0 < int(rows) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
