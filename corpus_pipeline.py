@@ -1,6 +1,15 @@
 """A corpus from raw documents to packed sequences.
 
 Each stage applies one operator to all documents its predecessor kept.
+
+Defined results: documents with null or blank text go at the first stage, as
+their language can't be told; a text left empty by a later stage stays, as a
+document whose one piece is the end id; rows that repeat id and text are one
+document to the dedup stages and each get the same lines and bytes, and one of
+them stays at near-duplicate removal; rows that repeat an id only are told
+apart by text; a null id sorts last; texts are taken whole at any length; other
+columns pass through all stages but the last, whatever their names (``n_chars``
+follows the text); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -9,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.llm import language_id, line_dedup, packing, simhash_dedup, suffix_dedup
-from sitewise.llm.common import documents, stash
+from sitewise.llm.common import documents, small_batches, stash
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -19,6 +28,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in a language that can be told go."""
+    small_batches(spark)
     return language_id.accepted(language_id.identify(docs), docs.columns)
 
 
@@ -29,16 +39,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays."""
+    small_batches(spark)
     return simhash_dedup.representatives(docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of long strings that came before go."""
+    small_batches(spark)
     return _sized(suffix_dedup.with_kept_text(suffix_dedup.dedup(docs), docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
