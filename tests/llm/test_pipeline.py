@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sitewise.llm import language_id
 from test_line_dedup import brute as brute_lines
@@ -64,3 +66,22 @@ def test_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 20
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_repeated_ids_nulls_and_other_columns(spark):
+    """Null and repeated ids, and columns that have an operator's own names."""
+    rng = random.Random(1)
+    english = lambda n: " ".join(rng.choice("the cat sat upon that mat with this hat and then".split()) + rng.choice(["", str(rng.randrange(90))]) for _ in range(n))
+    rows = [(i, english(30), "en", i) for i in range(20)]
+    rows += [rows[3], (4, english(30), "en", 99), (None, english(30), "en", 5), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, line long").withColumns({c: F.col("line") for c in ("at", "fp", "token", "kept", "score", "start")})
+    tables = [frame]
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, tables[-1], "")
+        tables.append(spark.createDataFrame(made.collect(), made.schema))
+        if name != "best_fit_packing":
+            assert tables[-1].columns == frame.columns
+    assert tables[1].count() == len(rows) - 1  # the null text goes
+    assert tables[3].count() == len(rows) - 2  # and one of the row that comes twice
+    assert all(r.at == r.line == r.score for r in tables[4].collect())
+    assert {r.doc_id for r in tables[5].collect()} == {None, *range(20)}
