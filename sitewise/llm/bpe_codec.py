@@ -15,7 +15,9 @@ the library's BPE model.  A bounded cache keeps the ids of recent words.
 Texts with characters outside ``PLAIN`` (where Python's lower-casing and the
 library's normaliser might differ) are normalised and split by the library.
 
-Defined results: null and blank texts have no ids and decode to ""; other
+Defined results: null and blank texts have no ids and decode to ""; rows
+that repeat ids or texts are encoded each for itself; of pairs of equal rank the
+leftmost merges first; a very long text is encoded whole, word by word; other
 columns pass through; an empty table gives an empty table.
 """
 

@@ -16,6 +16,7 @@ Defined results: ``und`` with score 0 for null text, for text without a letter
 and if nothing could be learned; ties go to the language that sorts first;
 labels of null are not learned from, nor are documents of null id, which count
 as not held out; repeated rows are learned and predicted each for itself;
+of a very long text all n-grams count, with a few numbers a character held;
 other columns pass through; an empty table gives an empty table.
 """
 

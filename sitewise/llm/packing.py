@@ -13,8 +13,10 @@ task grows with the corpus.  A sequence holds ``capacity`` pieces at most, as
 each has a token, so its list of members is bounded.
 
 Defined results: null and empty texts are documents of one token, the end id;
-rows that repeat ids or texts are packed each for itself; an empty table gives
-an empty table; other columns don't matter.
+rows that repeat ids or texts are packed each for itself; of pieces of equal
+length, and sequences with equal room, any may come first, so numbers and places
+are not fixed; a very long text is encoded whole and cut into pieces; an empty
+table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations

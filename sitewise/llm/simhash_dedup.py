@@ -21,7 +21,9 @@ fingerprints are joined on centres.  Nothing is dropped.
 
 Defined results: null and blank texts have fingerprint zero and are linked
 like any other; a component's id is its least non-null id (null if it has
-none); rows that repeat ids or texts are rows like any other; other columns
+none); rows that repeat ids or texts are rows like any other;
+bits that half the shingles have are 0; of a very long text all shingles count,
+32,768 at a time; other columns
 don't matter; an empty table gives an empty table.
 """
 

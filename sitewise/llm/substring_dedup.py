@@ -13,7 +13,8 @@ Windows of a minimiser with too many different strings travel one by one.
 Defined results: null text has no words and stays null; texts of fewer words
 than a window are kept whole; rows of equal id never make each other's windows
 repeats, and rows that repeat id and text get the same result each; a null id
-sorts last; other columns pass through, whatever their names; an empty table
+sorts last; a very long text is one chunk, held with a few numbers a word; other
+columns pass through, whatever their names; an empty table
 gives an empty table.
 """
 

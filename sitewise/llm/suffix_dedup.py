@@ -13,8 +13,9 @@ group but the earliest are repeats.
 Defined results: null text counts as empty and stays null if nothing is
 removed; texts shorter than ``min_bytes`` are kept whole; rows that repeat id
 and text are one document and get the same result each; rows that repeat an id
-only are told apart by text hash; a null id sorts last; other columns pass
-through, whatever their names; an empty table gives an empty table.
+only are told apart by text hash; a null id sorts last; of equal strings at the
+same start, that is of repeated rows, none goes before another; a very long text
+is one chunk, held with a few numbers a byte; other columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
