@@ -82,8 +82,9 @@ class Shingler:
         known = self.known
         if len(known) > _CACHED_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if not len(h):
             return h
