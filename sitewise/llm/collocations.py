@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, stash
+from .common import discard, documents, stash
 from .windows import pieces
 
 LEAST = 100
@@ -53,7 +54,7 @@ LONGEST = 5
 TOP = 2000
 NO_LANGUAGE = "und"
 #: Text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: An id has the partition, the block in it and the list in that: 20, 19 and 24 bits.
 _BLOCKS, _LISTS = 19, 24
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -204,30 +205,29 @@ def extended(k: int, last: bool):
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """``lang, words, f`` of the words and phrases that occur ``least`` times, and ``lang, n``, all word occurrences."""
     rows = stash(word_lists(docs, block_bytes), "words", "zstd")
-    totals = rows.where("idx IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stash(rows.where("idx IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     found = stash(frequent(rows, ["lang", "word"], least), "frequent-1", "zstd")
-    firsts = found.where("first")
-    words = firsts.select(F.col("id").alias("last"), "lang", "word")
-    level = firsts.select("id", "lang", F.array("word").alias("words"), "f")
+    words = stash(found.where("first").select("id", "lang", "word", "f"), "frequent-words", "zstd")
+    level = words.select("id", "lang", F.array("word").alias("words"), "f")
+    words = words.select(F.col("id").alias("last"), "word")
     every = [level]
     for k in range(1, longest):
         state = rows.where("idx IS NULL").drop("idx", "lang", "word", "prefix", "last", "n")
         final = k + 1 == longest
-        rows = state.groupBy("block").cogroup(found.select("block", "idx", "id").groupBy("block")).applyInArrow(extended(k, final), PHRASES)
+        longer = state.groupBy("block").cogroup(found.select("block", "idx", "id").groupBy("block")).applyInArrow(extended(k, final), PHRASES)
         if final:
-            firsts = rows.groupBy("prefix", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
+            firsts = longer.groupBy("prefix", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
         else:
-            rows = stash(rows, f"lists-{k + 1}", "zstd")
-            found = stash(frequent(rows, ["prefix", "last"], least), f"frequent-{k + 1}", "zstd")
+            longer = stash(longer, f"lists-{k + 1}", "zstd")
+            discard(rows, found)
+            rows, found = longer, stash(frequent(longer, ["prefix", "last"], least), f"frequent-{k + 1}", "zstd")
             firsts = found.where("first")
         before = level.select(F.col("id").alias("prefix"), "lang", "words")
-        level = firsts.select("id", "prefix", "last", "f").join(before, "prefix").join(words.drop("lang"), "last")
-        level = level.select("id", "lang", F.concat("words", F.array("word")).alias("words"), "f")
+        level = firsts.select("id", "prefix", "last", "f").join(before, "prefix").join(words, "last")
+        level = stash(level.select("id", "lang", F.concat("words", F.array("word")).alias("words"), "f"), f"phrases-{k + 1}", "zstd")
         every.append(level)
-    counted = every[0]
-    for level in every[1:]:
-        counted = counted.unionByName(level)
-    return stash(counted.select("lang", "words", "f"), "phrases", "zstd"), totals
+    discard(rows, found)
+    return reduce(DataFrame.union, every).select("lang", "words", "f"), totals
 
 
 def scored(counted: DataFrame, totals: DataFrame) -> DataFrame:

@@ -65,7 +65,15 @@ def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.select("*").write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables that ``stash`` returned, once no later step or result reads them."""
+    for df in stored:
+        remove(df.sparkSession, df.stored_at)
 
 
 def _key(id_col: str) -> Column:
