@@ -54,7 +54,7 @@ LONGEST = 5
 TOP = 2000
 NO_LANGUAGE = "und"
 #: Text of a block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: An id has the partition, the block in it and the list in that: 20, 19 and 24 bits.
 _BLOCKS, _LISTS = 19, 24
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -186,12 +186,14 @@ def extended(k: int, last: bool):
         word_at, word_id = (at, ids) if k == 1 else (unpacked(row["word_at"], np.int32), unpacked(row["word_id"], np.int64))
         has_word, place = adjacent(at, word_at, k)
         keep = has_word & adjacent(at, at, 1)[0]
-        at, prefix, word = at[keep], ids[keep], word_id[place[keep]]
-        prefixes, p = np.unique(prefix, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
-        pairs, idx = np.unique(p.astype(np.int64) << 32 | w, return_inverse=True)
+        prefixes, code = np.unique(ids[keep], return_inverse=True)
+        words, w = np.unique(word_id[place[keep]], return_inverse=True)
+        at, code = at[keep], code << 32 | w
+        del ids, place, has_word, keep, w  # a block has millions of positions
+        pairs, idx = np.unique(code, return_inverse=True)
         n = len(pairs)
-        lengths, positions = lists(idx, at, n)
+        lengths, positions = lists(idx.astype(np.int32), at, n)
+        del at, code, idx
         columns = [np.full(n, key[0].as_py()), np.arange(n, dtype=np.int32), prefixes[pairs >> 32] if n else pairs, words[pairs & 0xFFFFFFFF] if n else pairs, lengths.astype(np.int64)]
         counts = pa.table([*map(pa.array, columns), *(pa.nulls(n, kind) for kind in kinds[5:])], names=names)
         if last or not n:

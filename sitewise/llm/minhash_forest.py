@@ -20,12 +20,13 @@ Method:
    order.  The depth of the prefix adapts to the region: four values, and where
    more than ``GROUP`` nodes share them six, then eight.  At the last depth
    regions are taken at any size.
-4. Candidates of sizes and signatures that can be similar are verified on the
-   full sets, and components are taken of all links.
+   Pairs are joined under a bound on sizes and on parity bitmaps of the sets:
+   these differ in no more bits than the sets do in shingles, so it drops none
+   that is similar.
+4. Candidates are verified on the full sets, and components are taken of all links.
 
 At a similarity of exactly 0.85 a pair shares no region with a probability of
-6e-11 at depth four, 3e-7 at six and 4e-5 at eight; the bound on signatures
-(``LEAST_EQUAL`` of 128 equal values) drops one with less than 1e-8.
+6e-11 at depth four, 3e-7 at six and 4e-5 at eight.
 
 Defined results: null and blank texts have no shingles and are components of
 their own; a component's id is its least non-null id (null if it has none);
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, documents, identity, stash
+from .common import NO_ID, cut, discard, documents, identity, stash
 from .components import connected_components
 from .windows import mix, pieces
 
@@ -60,15 +61,15 @@ GROUP = 256
 FIRST_ORDERS = 4
 #: Values by which these are sorted.
 SORTED_BY = 16
-#: Six standard deviations below the mean number of equal values at the least similarity.
-LEAST_EQUAL = 84
+#: Numbers of 64 bits in a parity bitmap.
+BITMAP = 8
 _CACHED_WORDS = 200_000
 _RANDOM = np.random.default_rng(11)
 _XOR = _RANDOM.integers(0, 1 << 64, HASHES, np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
 _PLACE = _RANDOM.integers(0, 1 << 64, max(DEPTHS), np.uint64) | np.uint64(1)
 _SHINGLED = _RANDOM.integers(0, 1 << 64, SHINGLE, np.uint64) | np.uint64(1)
-SETS = "_key long, _ver long, n long, digest binary, signature binary"
+SETS = "_key long, _ver long, n long, digest binary, signature binary, bits array<long>"
 
 
 class Shingler:
@@ -102,8 +103,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Which of 64 x ``BITMAP`` hash buckets have an odd number of the set's shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """``_key, _ver, n, digest, signature`` of the shingle set of each row with the columns of ``identity``; digest and signature are null if it is empty."""
+    """``_key, _ver, n, digest, signature, bits`` of the shingle set of each row with the columns of ``identity``; the last three are null if it is empty."""
 
     def scan(batches):
         shingled = Shingler()
@@ -112,8 +119,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 found = [shingled(t) for t in texts]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
                 signatures = [signature(s).tobytes() if len(s) else None for s in found]
-                columns = (keys, vers, [len(s) for s in found], digests, signatures)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in SETS.split(", ")])
+                columns = (keys, vers, [len(s) for s in found], digests, signatures, [bitmap(s) if len(s) else None for s in found])
+                kinds = (*[pa.int64()] * 3, pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=[c.split()[0] for c in SETS.split(", ")])
 
     return docs.select("_key", "_ver", "_text").mapInArrow(scan, SETS)
 
@@ -186,10 +194,17 @@ def regions(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.select("id", "n", "label", "signature", *more).mapInArrow(run, "key long, t int, id long, n long, label long")
 
 
-def across_labels(rows: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of nodes in one region with different labels."""
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label"))) for side in "ab")
-    found = a.join(b, "key").where((F.col("label_a") != F.col("label_b")) & (F.col("id_a") < F.col("id_b")) & _sizes_fit(F.col("n_a"), F.col("n_b")))
+def _bits_fit(a: str, b: str, both: Column) -> Column:
+    differ = reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP)))
+    return (100 + SIMILARITY) * differ <= (100 - SIMILARITY) * both
+
+
+def across_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes in one region with different labels that may be similar."""
+    rows = rows.join(nodes.select("id", "bits"), "id")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label", "bits"))) for side in "ab")
+    fit = _sizes_fit(F.col("n_a"), F.col("n_b")) & _bits_fit("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))
+    found = a.join(b, "key").where((F.col("label_a") != F.col("label_b")) & (F.col("id_a") < F.col("id_b")) & fit)
     return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
@@ -197,30 +212,22 @@ def candidates(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     """Pairs ``a, b`` of nodes of different labels that share a region."""
     found, rows = [], regions(nodes, DEPTHS[0])
     for depth in DEPTHS:
-        mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "m")
-        mixed = cut(mixed)
-        last = depth == DEPTHS[-1]
-        found.append(across_labels(rows.join(mixed.where(F.col("m") <= group) if not last else mixed, "key", "left_semi")))
-        crowded = mixed.where(F.col("m") > group)
-        if last or crowded.isEmpty():
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        mixed = stash(mixed, "mixed")
+        rows = stash(rows.join(mixed, "key", "left_semi"), "regions")
+        discard(mixed)
+        if depth == DEPTHS[-1]:
+            found.append(across_labels(rows, nodes))
+            break
+        crowded = cut(rows.groupBy("key").count().where(F.col("count") > group).select("key"))
+        found.append(across_labels(rows.join(crowded, "key", "left_anti"), nodes))
+        if crowded.isEmpty():
             break
         asked = rows.join(crowded, "key", "left_semi").groupBy("id").agg(F.collect_list("t").alias("orders"))
         rows = regions(nodes.join(asked, "id"), DEPTHS[DEPTHS.index(depth) + 1])
     return reduce(DataFrame.union, found).distinct()
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in ``LEAST_EQUAL`` values."""
-
-    def run(batches):
-        for batch in batches:
-            equal = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(axis=1) >= LEAST_EQUAL
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(equal)) for i in range(2)], names=["a", "b"])
-
-    side = {c: nodes.select(F.col("id").alias(c), F.col("signature").alias(f"signature_{c}")) for c in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that are similar by their full sets; ``docs`` with the columns of ``identity``."""
 
@@ -244,29 +251,35 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "_key", "_ver"), "id")
     texts = docs.select("_key", "_ver", "_text").join(wanted, ["_key", "_ver"]).select("id", "_text").mapInArrow(shingle, "id long, shingles binary")
-    texts = stash(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")  # rows that repeat id and text once
+    texts = stash(texts.dropDuplicates(["id"]), "shingles")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    return stash(both.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"), "links")
+    links = stash(both.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``_key, _ver, n, least`` of each row: size of its shingle set, least ``_key`` of its component."""
     mine = docs.select(*identity(docs, id_col, text_col))
-    found = stash(sets(mine), "sets")
-    nodes = found.where("n > 0").groupBy("digest").agg(F.min(F.struct("_key", "_ver", "n", "signature")).alias("at"))
+    every = stash(sets(mine), "sets")
+    found = stash(every.select("_key", "_ver", "n", "digest"), "sizes")
+    nodes = every.where("n > 0").groupBy("digest").agg(F.min(F.struct("_key", "_ver", "n", "signature", "bits")).alias("at"))
     nodes = stash(nodes.select(F.monotonically_increasing_id().alias("id"), "digest", "at.*"), "nodes")
+    discard(every)
     near = stash(neighbours(nodes), "neighbours")
     links = verified(near, nodes, mine)
-    labels = connected_components(links)
-    labelled = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
-    labelled = stash(labelled.select("id", "n", "label", "signature"), "labelled")
-    more = stash(alike(candidates(labelled, group), nodes).join(near, ["a", "b"], "left_anti"), "candidates")
+    labels = connected_components(links).withColumnRenamed("node", "id")
+    labelled = stash(nodes.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "labelled")
+    discard(nodes)
+    more = stash(candidates(labelled, group).join(near, ["a", "b"], "left_anti"), "candidates")
+    nodes = stash(labelled.select("id", "digest", "_key", "_ver", F.col("label").alias("root")), "components")
+    discard(labelled)
     if not more.isEmpty():
         links = links.union(verified(more, nodes, mine))
-        labels = connected_components(links)
-    rooted = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", "_key", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("_key").alias("least"))
-    by_digest = rooted.join(least, "root").select("digest", "least")
+        labels = connected_components(links).withColumnRenamed("node", "id")
+        nodes = nodes.drop("root").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = nodes.groupBy("root").agg(F.min("_key").alias("least"))
+    by_digest = nodes.join(least, "root").select("digest", "least")
     blank = found.where("n = 0").select("_key", "_ver", "n", F.col("_key").alias("least"))
     return found.where("n > 0").join(by_digest, "digest").select("_key", "_ver", "n", "least").union(blank)
 
