@@ -23,6 +23,7 @@ Method:
    Pairs are joined under a bound on sizes and on parity bitmaps of the sets:
    these differ in no more bits than the sets do in shingles, so it drops none
    that is similar.
+   Tables that grow with the corpus are joined by sorting at any size.
 4. Candidates are verified on the full sets, and components are taken of all links.
 
 At a similarity of exactly 0.85 a pair shares no region with a probability of
@@ -58,9 +59,9 @@ DEPTHS = (4, 6, 8)
 #: Nodes of a region that are compared without asking for a longer prefix.
 GROUP = 256
 #: Orders of which the neighbours are compared first.
-FIRST_ORDERS = 4
+FIRST_ORDERS = 8
 #: Values by which these are sorted.
-SORTED_BY = 16
+SORTED_BY = 8
 #: Numbers of 64 bits in a parity bitmap.
 BITMAP = 8
 _CACHED_WORDS = 200_000
@@ -144,21 +145,20 @@ def neighbours(nodes: DataFrame) -> DataFrame:
                 prefix = np.ascontiguousarray(_rotated(found, t * HASHES // FIRST_ORDERS, SORTED_BY).astype(">u4")).tobytes()
                 width = 4 * SORTED_BY
                 at = [bytes([t]) + prefix[i : i + width] for i in range(0, len(prefix), width)]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), batch.column(0), batch.column(1)], names=["at", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), batch.column(0), batch.column(1), batch.column(3)], names=["at", "id", "n", "bits"])
 
     shared = 1 + 4 * DEPTHS[0]
 
     def follow(batches):
-        last = None
+        last = []
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            both = list(zip(([last] if last else []) + rows, rows if last else rows[1:]))
-            found = [(x[1], y[1]) for x, y in both if x[0][:shared] == y[0][:shared] and _sizes_fit(x[2], y[2])]
-            last = rows[-1] if rows else last
+            rows = last + list(zip(*(c.to_pylist() for c in batch.columns[:3]), np.array(batch.column(3).to_pylist(), np.int64).reshape(-1, BITMAP)))
+            last = rows[-1:]
+            found = [(x[1], y[1]) for x, y in zip(rows, rows[1:]) if x[0][:shared] == y[0][:shared] and _sizes_fit(x[2], y[2]) and _few_bits(int(np.bitwise_count(x[3] ^ y[3]).sum()), x[2] + y[2])]
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    placed = nodes.select("id", "n", "signature").mapInArrow(orders, "at binary, id long, n long")
+    placed = nodes.select("id", "n", "signature", "bits").mapInArrow(orders, "at binary, id long, n long, bits array<long>")
     pairs = placed.repartitionByRange("at").sortWithinPartitions("at", "id").mapInArrow(follow, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -168,6 +168,11 @@ def _sizes_fit(n, m):
     return (100 * n >= SIMILARITY * m) & (100 * m >= SIMILARITY * n)
 
 
+def _few_bits(differ, both):
+    """Of numbers or columns: what similar sets' bitmaps and sizes fulfil."""
+    return (100 + SIMILARITY) * differ <= (100 - SIMILARITY) * both
+
+
 def regions(nodes: DataFrame, depth: int) -> DataFrame:
     """``key, t, id, n, label``: the region of ``depth`` values of each node in each order, or in those of its array ``orders``."""
 
@@ -194,16 +199,15 @@ def regions(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.select("id", "n", "label", "signature", *more).mapInArrow(run, "key long, t int, id long, n long, label long")
 
 
-def _bits_fit(a: str, b: str, both: Column) -> Column:
-    differ = reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP)))
-    return (100 + SIMILARITY) * differ <= (100 - SIMILARITY) * both
+def _differ(a: str, b: str) -> Column:
+    return reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITMAP)))
 
 
 def across_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of nodes in one region with different labels that may be similar."""
     rows = rows.join(nodes.select("id", "bits"), "id")
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label", "bits"))) for side in "ab")
-    fit = _sizes_fit(F.col("n_a"), F.col("n_b")) & _bits_fit("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))
+    fit = _sizes_fit(F.col("n_a"), F.col("n_b")) & _few_bits(_differ("bits_a", "bits_b"), F.col("n_a") + F.col("n_b"))
     found = a.join(b, "key").where((F.col("label_a") != F.col("label_b")) & (F.col("id_a") < F.col("id_b")) & fit)
     return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
@@ -214,7 +218,7 @@ def candidates(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     for depth in DEPTHS:
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
         mixed = stash(mixed, "mixed")
-        rows = stash(rows.join(mixed, "key", "left_semi"), "regions")
+        rows = stash(rows.join(mixed.hint("merge"), "key", "left_semi"), "regions")
         discard(mixed)
         if depth == DEPTHS[-1]:
             found.append(across_labels(rows, nodes))
@@ -250,9 +254,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "_key", "_ver"), "id")
-    texts = docs.select("_key", "_ver", "_text").join(wanted, ["_key", "_ver"]).select("id", "_text").mapInArrow(shingle, "id long, shingles binary")
+    texts = docs.select("_key", "_ver", "_text").join(wanted.hint("merge"), ["_key", "_ver"]).select("id", "_text").mapInArrow(shingle, "id long, shingles binary")
     texts = stash(texts.dropDuplicates(["id"]), "shingles")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    side = {c: texts.select(F.col("id").alias(c), F.col("shingles").alias(name)) for c, name in zip("ab", "st")}
+    both = pairs.join(side["a"], "a").join(side["b"], "b")
     links = stash(both.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"), "links")
     discard(texts)
     return links
