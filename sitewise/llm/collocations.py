@@ -19,9 +19,10 @@ Method, level by level:
    from the next position on are frequent too.  What is left are the lists of
    phrases of k + 1 words, which are counted as in step 1.
 
-Between levels a block travels as one row of packed lists, counts as narrow
-rows, one for each list of a block.  Nothing is sent to all tasks, and no key
-has more rows than there are blocks.  Ids stand for words and phrases exactly;
+Between levels a block travels as one row of packed lists.  Counts of a block's
+phrases travel to buckets by a hash of the phrase, those for one bucket as one
+packed value; the number of buckets follows the corpus.  Nothing is sent to all
+tasks, and no phrase has more counts than there are blocks.  Ids stand for words and phrases exactly;
 no hash decides.  Scores are whole numbers of up to 38 digits.
 
 Defined results: a null text is empty, a null language is ``und``; a text
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, documents, stash
-from .windows import pieces
+from .windows import mix, pieces
 
 LEAST = 100
 LONGEST = 5
@@ -60,7 +61,12 @@ _BLOCKS, _LISTS = 19, 24
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _PIECES = bytes.maketrans(_SEPARATORS, b"\n" * len(_SEPARATORS))
 WORDS = "block long, idx int, lang string, word string, n long, lengths binary, positions binary"
-PHRASES = "block long, idx int, prefix long, last long, n long, word_at binary, word_id binary, lengths binary, positions binary"
+PHRASES = "block long, bucket int, counts binary, word_at binary, word_id binary, lengths binary, positions binary"
+KNOWN = "block long, ids binary, id long, prefix long, last long, f long"
+#: Word occurrences for each bucket of phrases; there are no more phrases than that.
+BUCKET_WORDS = 1_000_000
+_COUNT = np.dtype([("idx", np.int32), ("prefix", np.int64), ("last", np.int64), ("n", np.int32)])
+_ID = np.dtype([("idx", np.int32), ("id", np.int64)])
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -173,17 +179,41 @@ def frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
     return found.where(F.col("f") >= least).select("block", "idx", *key, "f", "id", (F.col("own") == F.col("id")).alias("first"))
 
 
-def extended(k: int, last: bool):
-    """Lists of phrases of ``k + 1`` words, from a block's lists of those of ``k``."""
-    names = [c.split()[0] for c in PHRASES.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 4]
+def columnar(rows: np.ndarray) -> bytes:
+    """A structured array packed by columns."""
+    return zstandard.compress(b"".join(rows[c].tobytes() for c in rows.dtype.names), 1)
+
+
+def rowwise(data: bytes, kind: np.dtype) -> np.ndarray:
+    data, at = zstandard.decompress(data), 0
+    rows = np.empty(len(data) // kind.itemsize, kind)
+    for c in kind.names:
+        rows[c] = np.frombuffer(data, kind[c], len(rows), at)
+        at += rows[c].nbytes
+    return rows
+
+
+def _table(schema: str, kinds: list[pa.DataType], columns: dict[str, list]) -> pa.Table:
+    names = [c.split()[0] for c in schema.split(", ")]
+    size = max(map(len, columns.values()), default=0)
+    return pa.table([pa.array(columns.get(c, [None] * size), kind) for c, kind in zip(names, kinds)], names=names)
+
+
+def extended(k: int, last: bool, n_buckets: int):
+    """Lists of phrases of ``k + 1`` words, from a block's lists of those of ``k``; their counts by bucket."""
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
 
     def run(key: tuple[pa.Scalar, ...], block: pa.Table, known: pa.Table) -> pa.Table:
         if not block.num_rows or not known.num_rows:
-            return pa.table([pa.array([], kind) for kind in kinds], names=names)
+            return _table(PHRASES, kinds, {})
         row = {c: v[0] for c, v in block.to_pydict().items()}
-        at, ids = occurrences(row["lengths"], row["positions"], known["idx"].to_numpy(), known["id"].to_numpy())
-        word_at, word_id = (at, ids) if k == 1 else (unpacked(row["word_at"], np.int32), unpacked(row["word_id"], np.int64))
+        if k == 1:
+            at, ids = occurrences(row["lengths"], row["positions"], known["idx"].to_numpy(), known["id"].to_numpy())
+            word_at, word_id = at, ids
+        else:
+            named = np.concatenate([rowwise(v, _ID) for v in known["ids"].to_pylist()])
+            at, ids = occurrences(row["lengths"], row["positions"], named["idx"], named["id"])
+            word_at, word_id = unpacked(row["word_at"], np.int32), unpacked(row["word_id"], np.int64)
         has_word, place = adjacent(at, word_at, k)
         keep = has_word & adjacent(at, at, 1)[0]
         prefixes, code = np.unique(ids[keep], return_inverse=True)
@@ -192,14 +222,49 @@ def extended(k: int, last: bool):
         del ids, place, has_word, keep, w  # a block has millions of positions
         pairs, idx = np.unique(code, return_inverse=True)
         n = len(pairs)
+        if not n:
+            return _table(PHRASES, kinds, {})
         lengths, positions = lists(idx.astype(np.int32), at, n)
         del at, code, idx
-        columns = [np.full(n, key[0].as_py()), np.arange(n, dtype=np.int32), prefixes[pairs >> 32] if n else pairs, words[pairs & 0xFFFFFFFF] if n else pairs, lengths.astype(np.int64)]
-        counts = pa.table([*map(pa.array, columns), *(pa.nulls(n, kind) for kind in kinds[5:])], names=names)
-        if last or not n:
-            return counts
-        state = [[key[0].as_py()], *[[None]] * 4, *([packed(a)] for a in (word_at, word_id, lengths, positions))]
-        return pa.concat_tables([counts, pa.table([pa.array(c, kind) for c, kind in zip(state, kinds)], names=names)])
+        counts = np.empty(n, _COUNT)
+        counts["idx"], counts["prefix"], counts["last"], counts["n"] = np.arange(n), prefixes[pairs >> 32], words[pairs & 0xFFFFFFFF], lengths
+        bucket = (mix(counts["prefix"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + counts["last"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        found, start = np.unique(bucket[order], return_index=True)
+        block_id = key[0].as_py()
+        out = _table(PHRASES, kinds, {"block": [block_id] * len(found), "bucket": found.tolist(), "counts": [columnar(counts[i]) for i in np.split(order, start[1:])]})
+        if last:
+            return out
+        state = {c: [packed(v)] for c, v in (("word_at", word_at), ("word_id", word_id), ("lengths", lengths), ("positions", positions))}
+        return pa.concat_tables([out, _table(PHRASES, kinds, {"block": [block_id], **state})])
+
+    return run
+
+
+def summed(least: int):
+    """Of a bucket's counts: the phrases that occur ``least`` times, and for each block the ids of its lists of them."""
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4]
+
+    def run(bucket: pa.Table) -> pa.Table:
+        parts = [rowwise(v, _COUNT) for v in bucket["counts"].to_pylist()]
+        block = np.repeat(bucket["block"].to_numpy(), list(map(len, parts)))
+        rows = np.concatenate(parts)
+        own = block << _LISTS | rows["idx"]
+        order = np.lexsort((own, rows["last"], rows["prefix"]))
+        rows, own, block = rows[order], own[order], block[order]
+        new = np.r_[True, (rows["prefix"][1:] != rows["prefix"][:-1]) | (rows["last"][1:] != rows["last"][:-1])]
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(rows["n"].astype(np.int64), first)
+        enough = f >= least
+        phrases = rows[first[enough]]
+        keep = enough[np.cumsum(new) - 1]
+        named = np.empty(int(keep.sum()), _ID)
+        named["idx"], named["id"], block = rows["idx"][keep], own[first][np.cumsum(new) - 1][keep], block[keep]
+        order = np.argsort(block, kind="stable")
+        blocks, start = np.unique(block[order], return_index=True)
+        by_block = {"block": blocks.tolist(), "ids": [columnar(named[i]) for i in np.split(order, start[1:])] if len(blocks) else []}
+        counted = {"id": own[first[enough]].tolist(), "prefix": phrases["prefix"].tolist(), "last": phrases["last"].tolist(), "f": f[enough].tolist()}
+        return pa.concat_tables([_table(KNOWN, kinds, by_block), _table(KNOWN, kinds, counted)])
 
     return run
 
@@ -212,22 +277,21 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_b
     words = stash(found.where("first").select("id", "lang", "word", "f"), "frequent-words", "zstd")
     level = words.select("id", "lang", F.array("word").alias("words"), "f")
     words = words.select(F.col("id").alias("last"), "word")
+    n_buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
     every = [level]
+    state, known = rows.where("idx IS NULL").select("block", "lengths", "positions"), found.select("block", "idx", "id")
     for k in range(1, longest):
-        state = rows.where("idx IS NULL").drop("idx", "lang", "word", "prefix", "last", "n")
         final = k + 1 == longest
-        longer = state.groupBy("block").cogroup(found.select("block", "idx", "id").groupBy("block")).applyInArrow(extended(k, final), PHRASES)
-        if final:
-            firsts = longer.groupBy("prefix", "last").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
-        else:
-            longer = stash(longer, f"lists-{k + 1}", "zstd")
-            discard(rows, found)
-            rows, found = longer, stash(frequent(longer, ["prefix", "last"], least), f"frequent-{k + 1}", "zstd")
-            firsts = found.where("first")
+        longer = state.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(extended(k, final, n_buckets), PHRASES)
+        longer = stash(longer, f"lists-{k + 1}")
+        discard(rows, found)
+        counts = longer.where("bucket IS NOT NULL").select("bucket", "block", "counts")
+        rows, found = longer, stash(counts.groupBy("bucket").applyInArrow(summed(least), KNOWN), f"frequent-{k + 1}")
         before = level.select(F.col("id").alias("prefix"), "lang", "words")
-        level = firsts.select("id", "prefix", "last", "f").join(before, "prefix").join(words, "last")
+        level = found.where("block IS NULL").select("id", "prefix", "last", "f").join(before, "prefix").join(words, "last")
         level = stash(level.select("id", "lang", F.concat("words", F.array("word")).alias("words"), "f"), f"phrases-{k + 1}", "zstd")
         every.append(level)
+        state, known = rows.where("bucket IS NULL").drop("bucket", "counts"), found.where("block IS NOT NULL").select("block", "ids")
     discard(rows, found)
     return reduce(DataFrame.union, every).select("lang", "words", "f"), totals
 
