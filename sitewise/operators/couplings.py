@@ -18,10 +18,13 @@ def mutual_information(pairs: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def product_corrected(scores: DataFrame, score: str, name: str) -> DataFrame:
-    """Average product correction: each score less the product of its positions' mean scores over the grand mean."""
+    """Average product correction: each score less the product of its positions' mean scores over the grand mean.
+
+    Means are computed within the plan; ``scores`` is read for each of them, so store it if it is dear.
+    """
     both = scores.select("i", score).union(scores.select("j", score)).toDF("pos", "s")
     means = both.groupBy("pos").agg(F.avg("s").alias("mean"))
-    grand = both.agg(F.avg("s")).first()[0] or 1.0
+    grand = both.agg(F.coalesce(F.nullif(F.avg("s"), F.lit(0.0)), F.lit(1.0))).scalar()
     mean = lambda p, m: means.select(F.col("pos").alias(p), F.col("mean").alias(m))
     return scores.join(mean("i", "_mi"), "i").join(mean("j", "_mj"), "j").withColumn(name, F.col(score) - F.col("_mi") * F.col("_mj") / grand).drop("_mi", "_mj")
 
@@ -99,11 +102,16 @@ def minimum_scaled(ecs: DataFrame, score: str = "score", name: str = "probabilit
 
 
 def add_site_features(ecs: DataFrame, sites: DataFrame) -> DataFrame:
-    """Joins ``pos, conservation, gap`` to both positions: least and greatest of each."""
-    at = lambda p, s: sites.select(F.col("pos").alias(p), F.col("conservation").alias(f"c{s}"), F.col("gap").alias(f"g{s}"))
-    joined = ecs.join(at("i", "i"), "i").join(at("j", "j"), "j")
-    ends = {f"{n}_{long}": f(f"{k}i", f"{k}j") for n, f in (("min", F.least), ("max", F.greatest)) for k, long in (("c", "conservation"), ("g", "gap"))}
-    return joined.withColumns(ends).drop("ci", "cj", "gi", "gj")
+    """Joins ``pos, conservation, gap`` to both positions: least and greatest of each.
+
+    Every position must be in ``sites``: a pair with one that isn't is an error when it is read.
+    """
+    at = lambda p: sites.select(F.col("pos").alias(p), F.struct("conservation", "gap").alias(f"_at_{p}"))
+    joined = ecs.join(at("i"), "i", "left").join(at("j"), "j", "left")
+    missing = F.raise_error(F.concat(F.lit("no features of a site of pair "), F.col("i"), F.lit(", "), F.col("j")))
+    known = F.col("_at_i").isNotNull() & F.col("_at_j").isNotNull()
+    ends = {f"{n}_{c}": F.when(known, f(f"_at_i.{c}", f"_at_j.{c}")).otherwise(missing.cast("double")) for n, f in (("min", F.least), ("max", F.greatest)) for c in ("conservation", "gap")}
+    return joined.withColumns(ends).drop("_at_i", "_at_j")
 
 
 def logistic_score(ecs: DataFrame, coefficients: dict[str, float], intercept: float) -> DataFrame:

@@ -87,11 +87,19 @@ def remapped_chains(atoms: DataFrame, mapping: DataFrame, letters: DataFrame | N
     return with_letters(rows, letters) if letters is not None else rows
 
 
-def remapped_complexes(atoms: DataFrame, first: DataFrame, second: DataFrame, letters: tuple = (None, None), names: tuple = ("N", "CA", "C", "O")) -> DataFrame:
-    """Both sides' chains, ``side`` 1 and 2, of entries that have either."""
-    sides = [remapped_chains(atoms, m, s, names).withColumn("side", F.lit(k)) for k, (m, s) in enumerate(zip((first, second), letters), 1)]
-    both = sides[0].select("pdb_id").distinct().join(sides[1].select("pdb_id").distinct(), "pdb_id")
-    return sides[0].unionByName(sides[1]).join(both, "pdb_id", "left_semi")
+def remapped_complexes(atoms: DataFrame, first: DataFrame, second: DataFrame, letters: tuple = (None, None), names: tuple = ("N", "CA", "C", "O"), chains: tuple = ("A", "B")) -> DataFrame:
+    """A complex for each chain of one side with each of the other in the same entry: ``pdb_id, chain_1, chain_2`` name it.
+
+    Its atoms are under sequence numbers, ``side`` 1 and 2, in chains renamed to ``chains``.  A chain's atoms stand
+    in every complex that it is part of; write with ``partitionBy("pdb_id", "chain_1", "chain_2")`` for a folder each.
+    """
+    hits = [m.select("pdb_id", F.col("chain").alias(f"chain_{k}")).distinct() for k, m in enumerate((first, second), 1)]
+    pairs = hits[0].join(hits[1], "pdb_id")
+    sides = [
+        remapped_chains(atoms, m, s, names).withColumnRenamed("chain", f"chain_{k}").join(pairs, ["pdb_id", f"chain_{k}"]).withColumns({"side": F.lit(k), "chain": F.lit(name)})
+        for k, (m, s, name) in enumerate(zip((first, second), letters, chains), 1)
+    ]
+    return sides[0].unionByName(sides[1], allowMissingColumns=True)
 
 
 def segment_index(spark: SparkSession, segments: list[dict]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from . import couplings as C
 from . import mixture
 from .running import ranked
+from .stored import stored
 
 #: Inputs of the logistic model, besides its intercept.
 FEATURES = ("mad_score", "num_sites_log", "min_gap", "max_gap", "min_cons", "max_cons", "meff_over_l_norm_log", "meff_over_l2_norm_log")
@@ -18,8 +19,9 @@ FEATURES = ("mad_score", "num_sites_log", "min_gap", "max_gap", "min_cons", "max
 
 def ec_table(couplings: DataFrame, pairs: DataFrame, sites: DataFrame) -> DataFrame:
     """``i, j, fn, cn, mi_raw, mi_apc``: norm of the zero-sum couplings and mutual information, both with their correction."""
-    cn = C.product_corrected(C.frobenius_norm(C.zero_sum_gauge(couplings)), "fn", "cn")
-    mi = C.product_corrected(C.mutual_information(pairs, sites), "mi_raw", "mi_apc")
+    # a row a pair of positions: small beside the model, and read four times
+    cn = C.product_corrected(stored(C.frobenius_norm(C.zero_sum_gauge(couplings))), "fn", "cn")
+    mi = C.product_corrected(stored(C.mutual_information(pairs, sites)), "mi_raw", "mi_apc")
     return cn.join(mi, ["i", "j"]).select("i", "j", "fn", "cn", "mi_raw", "mi_apc")
 
 
@@ -37,7 +39,7 @@ def with_features(ecs: DataFrame, sites: DataFrame, theta: float, n_eff: float,
 
 
 def logistic_rescored(ecs: DataFrame, sites: DataFrame, coefficients: dict[str, float], intercept: float, theta: float, n_eff: float, num_sites: int | None = None, score: str = "cn", least: float = 0.375) -> DataFrame:
-    """``ecs`` with ``mad_score, probability`` and ``score``, the model's log odds.
+    """``ecs`` with ``mad_score, probability`` and ``score``, the model's log odds; columns of these names that ``ecs`` has are replaced.
 
     With fewer than ``least`` effective sequences a site, over theta, the score
     stays what it was and probabilities are 0.
@@ -45,9 +47,10 @@ def logistic_rescored(ecs: DataFrame, sites: DataFrame, coefficients: dict[str,
     if num_sites is None:
         num_sites = ecs.select("i").union(ecs.select("j")).distinct().count()
     if n_eff / num_sites / theta < least:
-        return ecs.withColumns({"score": F.col(score), "probability": F.lit(0.0)})
+        return ecs.withColumns({"score": F.col(score), "probability": F.lit(0.0)})  # both from the columns before
     rows = C.logistic_score(with_features(C.mad_score(ecs, score), sites, theta, n_eff, num_sites), coefficients, intercept)
-    return rows.select(*ecs.columns, "mad_score", "probability", F.col("score_logit").alias("score"))
+    kept = [c for c in ecs.columns if c not in ("mad_score", "probability", "score")]
+    return rows.select(*kept, "mad_score", "probability", F.col("score_logit").alias("score"))
 
 
 def with_mixture_probability(ecs: DataFrame, model: str = "skewnormal", score: str = "cn") -> DataFrame:
@@ -81,13 +84,22 @@ def compared(ecs: DataFrame, distances: DataFrame, multimer: DataFrame | None =
     return rows if cutoff is None else C.precision(rows, cutoff, score, least or 0, ties=ties)
 
 
-def complex_compared(ecs: DataFrame, intra: dict[str, DataFrame], inter: DataFrame, cutoff: float = 5.0, score: str = "cn", least: int = 6, ties: tuple = ("i", "j")) -> DataFrame:
-    """Each segment's pairs against its own map and the pairs between segments against theirs: ``segmentwise_precision``, then ``precision`` over all."""
+def complex_compared(ecs: DataFrame, intra: dict[str, DataFrame | tuple[DataFrame, DataFrame]], inter: DataFrame | None = None, cutoff: float = 5.0, score: str = "cn", least: int = 6, ties: tuple = ("i", "j")) -> DataFrame:
+    """Each segment's pairs against its own map and the pairs between segments against theirs: ``segmentwise_precision``, then ``precision`` over all.
+
+    ``intra``: a map for each segment, or one within and one between the chains of a multimer.  Pairs that have no map
+    stay, all of them, without a distance: those of a segment that ``intra`` doesn't name, or between segments without ``inter``.
+    """
     same = F.col("segment_i") == F.col("segment_j")
-    part = lambda rows, distances, least: compared(rows, distances, None, cutoff, score, least, ties).withColumnRenamed("precision", "segmentwise_precision")
-    rows = part(ecs.where(~same), inter, None)
-    for name, distances in intra.items():
-        rows = rows.unionByName(part(ecs.where(same & (F.col("segment_i") == name)), distances, least))
+    part = lambda rows, maps, least: compared(rows, *maps, cutoff=cutoff, score=score, least=least, ties=ties).withColumnRenamed("precision", "segmentwise_precision")
+    mapped = same & F.col("segment_i").isin(list(intra))
+    unknown = ecs.where(same & ~mapped if inter is not None else ~mapped)
+    rows = unknown.withColumns({"dist": F.lit(None).cast("double"), "segmentwise_precision": F.lit(None).cast("double")})
+    if inter is not None:
+        rows = rows.unionByName(part(ecs.where(~same), (inter,), None))
+    for name, maps in intra.items():
+        maps = maps if isinstance(maps, tuple) else (maps,)
+        rows = rows.unionByName(part(ecs.where(same & (F.col("segment_i") == name)), maps, least), allowMissingColumns=True)
     return C.precision(rows, cutoff, score, 0, ties=ties)
 
 

@@ -10,6 +10,7 @@ from . import couplings as C
 from . import meanfield as M
 from . import mutation as U
 from . import scoring as S
+from .stored import stored
 
 
 def cut_sequence(sequence: str, region: tuple[int, int] | None = None, first_index: int = 1) -> tuple[int, str]:
@@ -67,9 +68,10 @@ def focused(rows: DataFrame, target: int, alphabet: str, n_symbols: int, sequenc
 
 def meanfield_ecs(rows: DataFrame, length: int, n_symbols: int, pseudo: float = 0.5) -> DataFrame:
     """The mean-field stage from (weighted) symbol rows to pairs ``i, j, mi_raw, mi_apc, di, cn``."""
+    rows = stored(rows)  # weights compare all sequences
     sites, pairs = A.site_frequencies(rows, n_symbols), A.pair_frequencies(rows)
-    regular_sites, regular_pairs = M.regularized_sites(sites, n_symbols, pseudo), M.regularized_pairs(pairs, length, n_symbols, pseudo)
-    model = M.couplings(regular_pairs, regular_sites, length, n_symbols)
+    regular_sites, regular_pairs = stored(M.regularized_sites(sites, n_symbols, pseudo)), stored(M.regularized_pairs(pairs, length, n_symbols, pseudo))
+    model = stored(M.couplings(regular_pairs, regular_sites, length, n_symbols))
     table = S.ec_table(model, regular_pairs, regular_sites)
     return table.join(M.direct_information(model, regular_sites, n_symbols), ["i", "j"]).select("i", "j", "mi_raw", "mi_apc", "di", "cn")
 

@@ -8,6 +8,7 @@ from ..operators import alignment as A
 from ..operators import couplings as C
 from ..operators import meanfield as M
 from ..operators import mutation as U
+from ..operators.stored import stored
 from .fixtures import MSA, SYMBOLS, msa_rows, with_views
 
 THETA = 0.5
@@ -75,14 +76,20 @@ def pair_frequencies(spark, d):
 
 
 def mutual_information_apc(spark, d):
+    _, sites, pairs = _counted(spark, d)
+    return C.product_corrected(stored(C.mutual_information(pairs, sites)), "mi_raw", "mi_apc").select("i", "j", r6("mi_raw"), r6("mi_apc"))
+
+
+def _counted(spark, d):
+    """Rows, and site and pair frequencies, counted once."""
     rows = msa_rows(spark, d)
-    mi = C.mutual_information(A.pair_frequencies(rows), A.site_frequencies(rows, SYMBOLS))
-    return C.product_corrected(mi, "mi_raw", "mi_apc").select("i", "j", r6("mi_raw"), r6("mi_apc"))
+    return rows, stored(A.site_frequencies(rows, SYMBOLS)), stored(A.pair_frequencies(rows))
 
 
 def _model(spark, d):
-    rows = msa_rows(spark, d)
-    return rows, *U.log_odds_model(A.pair_frequencies(rows), A.site_frequencies(rows, SYMBOLS))
+    rows, sites, pairs = _counted(spark, d)
+    fields, couplings = U.log_odds_model(pairs, sites)
+    return rows, fields, stored(couplings)
 
 
 def sequence_energy(spark, d):
@@ -118,7 +125,7 @@ def regularized_pairs(spark, d):
 def meanfield_couplings(spark, d):
     sites, pairs = _regular(spark, d)
     model = M.couplings(pairs, sites, LENGTH, SYMBOLS)
-    cn = C.product_corrected(C.frobenius_norm(C.zero_sum_gauge(model)), "fn", "cn")
+    cn = C.product_corrected(stored(C.frobenius_norm(C.zero_sum_gauge(model))), "fn", "cn")
     return cn.select("i", "j", r6("fn"), r6("cn"))
 
 

@@ -15,7 +15,7 @@ from ..operators import scoring as G
 from ..operators import structure as S
 from ..streaming.jobs import latest_states
 from .fixtures import atoms, ecs, genes, hits, msa_rows, table
-from .msa_queries import r6
+from .msa_queries import _model, r6
 from .pair_oracles import ORACLE_SQL  # noqa: F401
 
 TIES = ("i", "j", "line")
@@ -196,8 +196,7 @@ def mutants_split(spark, d):
 
 def mutant_delta(spark, d):
     """A substitution of the first sequence for each line of an order, each in a stretch of its own, under the log-odds model."""
-    rows = msa_rows(spark, d)
-    fields, couplings = U.log_odds_model(A.pair_frequencies(rows), A.site_frequencies(rows, 5))
+    rows, fields, couplings = _model(spark, d)
     target = A.cells(rows.where("seq_idx = 0")).select("pos", "sym")
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("mutant"), (F.col("l_partkey") % 9 + 9 * (F.col("l_linenumber") - 1) + 1).cast("int").alias("pos"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("subs"))
     wild = target.select("pos", F.col("sym").alias("wt"))

@@ -10,8 +10,9 @@ from ..operators import mutation as U
 from ..operators import pairing as P
 from ..operators import scoring as S
 from ..operators import stages as T
+from ..operators.stored import stored
 from .fixtures import ATOMS, ECS, HITS, MSA, SYMBOLS, atoms, ecs, genes, hits, msa_rows, table, with_views
-from .msa_queries import ALPHABET, LENGTH, THETA, WEIGHTS, _model, _model_sql, r6
+from .msa_queries import ALPHABET, LENGTH, THETA, WEIGHTS, _counted, _model, _model_sql, r6
 from .pair_oracles import _genes
 
 TIES = ("i", "j", "line")
@@ -22,17 +23,17 @@ SEGMENTS = [{"segment": "A_1", "start": 11, "end": 40}, {"segment": "B_1", "star
 
 
 def _ec_table(spark, d):
-    rows, _, couplings = _model(spark, d)
-    return rows, S.ec_table(couplings, A.pair_frequencies(rows), A.site_frequencies(rows, SYMBOLS))
+    rows, sites, pairs = _counted(spark, d)
+    return rows, sites, S.ec_table(U.log_odds_model(pairs, sites)[1], pairs, sites)
 
 
 def ec_table(spark, d):
-    return _ec_table(spark, d)[1].select("i", "j", r6("fn"), r6("cn"), r6("mi_raw"), r6("mi_apc"))
+    return _ec_table(spark, d)[2].select("i", "j", r6("fn"), r6("cn"), r6("mi_raw"), r6("mi_apc"))
 
 
 def logistic_published(spark, d):
-    rows, table_ = _ec_table(spark, d)
-    sites = A.site_frequencies(rows, SYMBOLS)
+    rows, sites, table_ = _ec_table(spark, d)
+    table_ = stored(table_)
     features = S.site_features(sites, A.conservation(sites, SYMBOLS))
     n_eff = A.sequence_weights(rows, THETA).agg(F.sum("weight")).first()[0]
     scored = S.logistic_rescored(table_.select("i", "j", "mi_apc"), features, COEFFICIENTS, INTERCEPT, THETA, n_eff, score="mi_apc")

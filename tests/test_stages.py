@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitewise.operators import couplings as C
 from sitewise.operators import lookup as K
 from sitewise.operators import mixture as X
 from sitewise.operators import pairing as P
@@ -55,6 +56,31 @@ def test_gate_of_logistic_score(spark):
     assert [(r.score, r.probability) for r in got.orderBy("i").collect()] == [(2.0, 0.0), (1.0, 0.0)]
 
 
+def test_sites_without_features(spark):
+    """A pair is not lost with its site; it is an error."""
+    ecs = spark.createDataFrame([(1, 9, 2.0, 7.0), (2, 8, 1.0, 6.0)], "i int, j int, cn double, score double")
+    sites = spark.createDataFrame([(k, k / 10, None if k == 2 else 0.5) for k in (1, 2, 8, 9)], "pos int, conservation double, gap double")
+    got = {r.i: r for r in C.add_site_features(ecs, sites).collect()}
+    assert (got[1].min_conservation, got[1].max_conservation, got[1].min_gap) == (0.1, 0.9, 0.5) and got[2].max_gap == 0.5
+    with pytest.raises(Exception, match="no features of a site of pair 2, 8"):
+        C.add_site_features(ecs, sites.where("pos != 8")).collect()
+    rescored = S.logistic_rescored(ecs, sites, {"max_cons": 1.0}, 0.5, 0.8, 1000.0)
+    assert rescored.columns.count("score") == 1 and {r.i: round(r.score, 6) for r in rescored.collect()} == {1: 1.4, 2: 1.3}
+
+
+def test_complex_pairs_without_map(spark):
+    """Pairs of a segment, or between segments, without a map stay without a distance."""
+    rows = [(1, 9, 9.0, "A", "A"), (1, 3, 8.0, "A", "A"), (2, 3, 7.0, "B", "B"), (1, 2, 6.0, "A", "B")]
+    ecs = spark.createDataFrame(rows, "i int, j int, cn double, segment_i string, segment_j string")
+    a = spark.createDataFrame([(1, 9, 8.0)], "i int, j int, dist double")
+    other = spark.createDataFrame([(1, 9, 3.0)], "i int, j int, dist double")
+    got = {(r.segment_i, r.segment_j, r.i, r.j): (r.dist, r.segmentwise_precision, r.precision) for r in S.complex_compared(ecs, {"A": (a, other)}).collect()}
+    assert got == {("A", "A", 1, 9): (3.0, 1.0, 1.0), ("B", "B", 2, 3): (None, None, 1.0), ("A", "B", 1, 2): (None, None, 1.0)}
+    inter = spark.createDataFrame([(1, 2, 9.0)], "i int, j int, dist double")
+    got = {(r.segment_i, r.segment_j, r.i, r.j): (r.dist, r.segmentwise_precision, r.precision) for r in S.complex_compared(ecs, {"A": a}, inter).collect()}
+    assert got == {("A", "A", 1, 9): (8.0, 0.0, 0.0), ("B", "B", 2, 3): (None, None, 0.0), ("A", "B", 1, 2): (9.0, 0.0, 0.0)}
+
+
 def test_cut_and_target(spark):
     assert T.cut_sequence("ABCDEF", (12, 14), 11) == (12, "BCD") and T.cut_sequence("AB", None, 3) == (3, "AB")
     with pytest.raises(ValueError, match="not inside"):
@@ -128,6 +154,12 @@ def test_chains(spark):
     assert [(r.residue, r.letter, r.atom_name) for r in K.remapped_chains(atoms, mapping, letters).collect()] == [(50, "Q", "CA")]
     assert K.remapped_complexes(atoms, mapping.where("chain = 'A'"), mapping.where("chain = 'B'")).count() == 0
     assert K.remapped_complexes(atoms, mapping, mapping).count() == 4
+    four = spark.createDataFrame([("1abc", c, 5, "CA", k) for k, c in enumerate("WXYZ")], "pdb_id string, chain string, residue long, atom_name string, atom_idx int")
+    sides = [spark.createDataFrame([("1abc", c, 5, n) for c in cs], "pdb_id string, chain string, source long, target long") for cs, n in (("WX", 50), ("YZ", 60))]
+    got = K.remapped_complexes(four, *sides, letters=(letters, None))
+    want = {(i, j, side, "AB"[side - 1], (50, 60)[side - 1]) for i in "WX" for j in "YZ" for side in (1, 2)}
+    assert {(r.chain_1, r.chain_2, r.side, r.chain, r.residue) for r in got.collect()} == want and got.count() == 8
+    assert {r.letter for r in got.collect()} == {"Q", None}
     assert {(r.residue, r.first, r.last) for r in K.atom_rows(atoms.where("chain = 'A'")).collect()} == {(5, 0, 1), (6, 2, 2)}
     assert K.transposed(spark.createDataFrame([(1, 2, 3.0)], "i long, j long, dist double")).first()[:2] == (2, 1)
 
