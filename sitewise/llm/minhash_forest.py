@@ -18,8 +18,8 @@ Method:
    minima, maxima and counts.  In those all pairs of different labels are
    candidates; so a link is missed only if its nodes share no prefix in any
    order.  The depth of the prefix adapts to the region: four values, and where
-   more than ``GROUP`` nodes share them six, then eight.  At the last depth
-   regions are taken at any size.
+   more than ``GROUP`` nodes share them six.  At the last depth regions are
+   taken at any size.
    Pairs are joined under a bound on sizes and on parity bitmaps of the sets:
    these differ in no more bits than the sets do in shingles, so it drops none
    that is similar.
@@ -27,7 +27,7 @@ Method:
 4. Candidates are verified on the full sets, and components are taken of all links.
 
 At a similarity of exactly 0.85 a pair shares no region with a probability of
-6e-11 at depth four, 3e-7 at six and 4e-5 at eight.
+4e-7 at depth four and 8e-5 at six, at 0.9 of 1e-9 and 3e-7.
 
 Defined results: null and blank texts have no shingles and are components of
 their own; a component's id is its least non-null id (null if it has none);
@@ -54,8 +54,9 @@ from .windows import mix, pieces
 SIMILARITY = 85
 SHINGLE = 3
 HASHES = 128
-ORDERS = 32
-DEPTHS = (4, 6, 8)
+#: Orders begin six values apart or more, so prefixes of different orders share none.
+ORDERS = 20
+DEPTHS = (4, 6)
 #: Nodes of a region that are compared without asking for a longer prefix.
 GROUP = 256
 #: Orders of which the neighbours are compared first.
