@@ -55,7 +55,7 @@ LONGEST = 5
 TOP = 2000
 NO_LANGUAGE = "und"
 #: Text of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: An id has the partition, the block in it and the list in that: 20, 19 and 24 bits.
 _BLOCKS, _LISTS = 19, 24
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -64,7 +64,7 @@ WORDS = "block long, idx int, lang string, word string, n long, lengths binary,
 PHRASES = "block long, bucket int, counts binary, word_at binary, word_id binary, lengths binary, positions binary"
 KNOWN = "block long, ids binary, id long, prefix long, last long, f long"
 #: Word occurrences for each bucket of phrases; there are no more phrases than that.
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS = 500_000
 _COUNT = np.dtype([("idx", np.int32), ("prefix", np.int64), ("last", np.int64), ("n", np.int32)])
 _ID = np.dtype([("idx", np.int32), ("id", np.int64)])
 
