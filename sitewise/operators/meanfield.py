@@ -1,9 +1,9 @@
 """Mean-field couplings: covariance of one-hot symbols, its inverse, and what follows from it.
 
 Counting is done in Spark.  The covariance matrix has (positions x (symbols -
-1)) rows, whatever the number of sequences; up to ``MOST_ROWS``, one task
-inverts it (Spark's Python workers run BLAS on one thread), and the couplings
-come back as a long table.
+1)) rows, whatever the number of sequences; it is inverted tile by tile
+(``linear.negative_inverse``), so that no task holds more than a few tiles, and
+the couplings come back as a long table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROWS = 8000
+from . import linear
+
+#: Site frequencies of as many rows (a few MB) are broadcast, more are joined by shuffles.
+BROADCAST_ROWS = 100_000
 
 
 def regularized_sites(sites: DataFrame, n_symbols: int, pseudo: float = 0.5) -> DataFrame:
@@ -33,36 +36,46 @@ def regularized_pairs(pairs: DataFrame, length: int, n_symbols: int, pseudo: flo
 def covariance_blocks(pairs: DataFrame, sites: DataFrame, length: int, n_symbols: int) -> DataFrame:
     """``i, j, v`` for i <= j: the covariance of all symbols but the last at two positions, row by row, from regularised frequencies."""
     q = n_symbols - 1
-    if length * q > MOST_ROWS:
-        raise ValueError(f"{length} positions of {n_symbols} symbols make a matrix of more than {MOST_ROWS} rows")
     f = sites.where(F.col("sym") < q)
     at = lambda pos, sym, name: f.select(F.col("pos").alias(pos), F.col("sym").alias(sym), F.col("frequency").alias(name))
-    # q rows a position: a table of at most MOST_ROWS rows
-    fi, fj = F.broadcast(at("i", "a", "fi")), F.broadcast(at("j", "b", "fj"))
+    fi, fj = at("i", "a", "fi"), at("j", "b", "fj")
+    if length * q <= BROADCAST_ROWS:
+        fi, fj = F.broadcast(fi), F.broadcast(fj)
     apart = pairs.where((F.col("a") < q) & (F.col("b") < q)).select("i", "j", "a", "b", "frequency")
     same = at("i", "a", "fa").join(fj.select(F.col("j").alias("i"), "b"), "i").select("i", F.col("i").alias("j"), "a", "b", F.when(F.col("a") == F.col("b"), F.col("fa")).otherwise(F.lit(0.0)).alias("frequency"))
     cells = apart.unionByName(same).join(fi, ["i", "a"]).join(fj, ["j", "b"]).select("i", "j", "a", "b", (F.col("frequency") - F.col("fi") * F.col("fj")).alias("v"))
     return cells.groupBy("i", "j").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "v"))), lambda c: c["v"]).alias("v"))
 
 
-def couplings(pairs: DataFrame, sites: DataFrame, length: int, n_symbols: int) -> DataFrame:
-    """``i, j, a, b, v`` with 0 for the last symbol: minus the inverse covariance, inverted in one task."""
+def couplings(pairs: DataFrame, sites: DataFrame, length: int, n_symbols: int, tile_rows: int = linear.TILE_ROWS) -> DataFrame:
+    """``i, j, a, b, v`` with 0 for the last symbol: minus the inverse covariance."""
     q = n_symbols - 1
-
-    def invert(batches):
-        matrix = np.zeros((length, q, length, q))
-        for frame in batches:
-            for i, j, v in frame.itertuples(index=False):
-                block = np.asarray(v).reshape(q, q)
-                matrix[i - 1, :, j - 1] = block
-                matrix[j - 1, :, i - 1] = block.T
-        inverse = -np.linalg.inv(matrix.reshape(length * q, length * q)).reshape(length, q, length, q)
-        for i in range(length - 1):
-            full = np.zeros((length - 1 - i, n_symbols, n_symbols))
-            full[:, :q, :q] = inverse[i].transpose(1, 0, 2)[i + 1 :]
-            yield pd.DataFrame({"i": i + 1, "j": np.arange(i + 2, length + 1), "v": list(full.reshape(len(full), -1))})
-
-    blocks = covariance_blocks(pairs, sites, length, n_symbols).repartition(1).mapInPandas(invert, "i int, j int, v array<double>")
+    wide = max(1, tile_rows // q)  # positions of a tile
+    n_tiles = -(-length // wide)
+
+    def assemble(key, frame):
+        first, second = (k * wide + 1 for k in key)
+        tile = np.zeros((min(wide, length + 1 - first), q, min(wide, length + 1 - second), q))
+        for i, j, v in frame[["i", "j", "v"]].itertuples(index=False):
+            block = np.asarray(v).reshape(q, q)
+            tile[i - first, :, j - second] = block
+            if first == second:
+                tile[j - first, :, i - second] = block.T
+        return linear.frame(*key, tile)
+
+    def unpack(key, frame):
+        first, second = (k * wide + 1 for k in key)
+        tile = np.frombuffer(frame["m"].iloc[0]).reshape(min(wide, length + 1 - first), q, -1, q).transpose(0, 2, 1, 3)
+        i, j = (x.ravel() for x in np.indices(tile.shape[:2]))
+        i, j = (x[i + first < j + second] for x in (i, j))
+        full = np.zeros((len(i), n_symbols, n_symbols))
+        full[:, :q, :q] = tile[i, j]
+        return pd.DataFrame({"i": i + first, "j": j + second, "v": pd.Series(list(full.reshape(len(i), n_symbols**2)), dtype=object)})
+
+    tile_of = lambda c: F.floor((F.col(c) - 1) / wide).cast("int")
+    blocks = covariance_blocks(pairs, sites, length, n_symbols).withColumns({"row": tile_of("i"), "col": tile_of("j")})
+    tiles = blocks.groupBy("row", "col").applyInPandas(assemble, linear.TILES)
+    blocks = linear.negative_inverse(tiles, n_tiles).groupBy("row", "col").applyInPandas(unpack, "i int, j int, v array<double>")
     cells = blocks.select("i", "j", F.posexplode("v").alias("ab", "v"))
     return cells.select("i", "j", F.floor(F.col("ab") / n_symbols).cast("int").alias("a"), (F.col("ab") % n_symbols).alias("b"), "v")
 
