@@ -7,7 +7,7 @@ file a row and taken apart with array functions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_match, header_parts
@@ -153,17 +153,21 @@ def family_sizes(spark: SparkSession, path: str) -> DataFrame:
     return records.select(of("AC").alias("family"), of("SQ").cast("long").alias("n")).where("family IS NOT NULL AND n IS NOT NULL")
 
 
-def read_pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed columns of ``ATOM`` and ``HETATM`` lines; a residue id is a string and may end in an insertion code."""
-    lines = spark.read.text(path).where(F.col("value").rlike("^(ATOM  |HETATM)"))
+def pdb_columns(lines: DataFrame, *first: Column) -> DataFrame:
+    """Columns ``first`` and the fixed columns of those of the lines ``value`` that are atoms."""
     cut = lambda a, n: F.trim(F.substring("value", a, n))
     number = lambda a, n: F.nullif(cut(a, n), F.lit("")).cast("double")
-    return lines.select(
-        F.input_file_name().alias("file"), cut(7, 5).cast("long").alias("atom_id"), cut(13, 4).alias("atom_name"), cut(17, 1).alias("alt_loc"), cut(18, 3).alias("residue_name"), cut(22, 1).alias("chain"), cut(23, 5).alias("residue"),
+    return lines.where(F.col("value").rlike("^(ATOM  |HETATM)")).select(
+        *first, cut(7, 5).cast("long").alias("atom_id"), cut(13, 4).alias("atom_name"), cut(17, 1).alias("alt_loc"), cut(18, 3).alias("residue_name"), cut(22, 1).alias("chain"), cut(23, 5).alias("residue"),
         number(31, 8).alias("x"), number(39, 8).alias("y"), number(47, 8).alias("z"), number(55, 6).alias("occupancy"), number(61, 6).alias("b_factor"), cut(77, 2).alias("element"), F.col("value").startswith("HETATM").alias("hetatm"),
     )
 
 
+def read_pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
+    """Fixed columns of ``ATOM`` and ``HETATM`` lines of all models; a residue id is a string and may end in an insertion code."""
+    return pdb_columns(spark.read.text(path), F.input_file_name().alias("file"))
+
+
 def read_secondary_structure(spark: SparkSession, path: str, first_index: int = 1) -> DataFrame:
     """``i, A_i, ss, confidence`` of a vertical prediction: lines of number, residue, state and numbers."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\d+\s+[A-Z]\s+[HEC]\b"))
