@@ -205,10 +205,12 @@ def _differ(a: str, b: str) -> Column:
 
 
 def across_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of nodes in one region with different labels that may be similar."""
-    rows = rows.join(nodes.select("id", "bits"), "id")
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label", "bits"))) for side in "ab")
+    """Pairs ``a, b`` of nodes in one region with different labels that may be similar, each once: in the least region that both are in."""
+    every = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))  # ORDERS at most
+    rows = rows.join(nodes.select("id", "bits"), "id").join(every, "id")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label", "bits", "keys"))) for side in "ab")
     fit = _sizes_fit(F.col("n_a"), F.col("n_b")) & _few_bits(_differ("bits_a", "bits_b"), F.col("n_a") + F.col("n_b"))
+    fit &= a["key"] == F.array_min(F.array_intersect("keys_a", "keys_b"))
     found = a.join(b, "key").where((F.col("label_a") != F.col("label_b")) & (F.col("id_a") < F.col("id_b")) & fit)
     return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
