@@ -6,36 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 32
+from .stored import stored
+
+#: Rows a task sorts at most, but for the unevenness of sampled range bounds.
+ROWS = 1_000_000
 COLLECTED = 10_000
 
 
 def running_totals(df: DataFrame, order: str, ties: list[str], values: dict[str, Column], descending: bool = True) -> DataFrame:
     """``df`` with, for each name, the sum of its value over this row and all before it in order of ``order``, then ``ties``.
 
-    Rows are dealt to ranges of ``order``; sums run inside each range, and the
-    totals of the ranges before it, a few numbers, are added.  Rows whose order
-    value is null come last.
+    Up to ``ROWS`` rows are one sorted range.  More are dealt to ranges of
+    (``order``, ``ties``), as many as the rows need, so rows of one order value
+    are split by their ties; sums run inside each range, and the totals of the
+    ranges before it, one row a range, are joined.  The ranges are stored, as
+    two parts of the plan must see the same.  Rows whose order value is null
+    come last.
     """
-    sign = -1 if descending else 1
-    key = (F.col(order) * sign).cast("double")
-    bounds = sorted(set(df.select(key.alias("k")).approxQuantile("k", [k / BUCKETS for k in range(1, BUCKETS)], 0.005)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("_k"))) if bounds else F.lit(0)
+    key = F.col(order).cast("double") * (-1 if descending else 1)
+    place = [F.col("_k").asc_nulls_last(), *(F.col(t).asc() for t in ties)]
     rows = df.select("*", *(v.alias(f"_v_{n}") for n, v in values.items()), key.alias("_k"))
-    rows = rows.withColumn("_bucket", F.when(F.col("_k").isNull(), len(bounds) + 1).otherwise(bucket))
-    totals = rows.groupBy("_bucket").agg(*(F.sum(f"_v_{n}").alias(n) for n in values)).orderBy("_bucket").collect()
-    offsets, so_far = [], dict.fromkeys(values, 0)
-    for t in totals:
-        offsets.append((t["_bucket"], dict(so_far)))
-        so_far = {n: so_far[n] + (t[n] or 0) for n in values}
-    inside = Window.partitionBy("_bucket").orderBy("_k", *ties).rowsBetween(Window.unboundedPreceding, 0)
-
-    def before(name: str) -> Column:
-        pairs = [F.lit(x) for b, o in offsets for x in (b, o[name])]
-        return F.coalesce(F.create_map(*pairs)[F.col("_bucket")], F.lit(0)) if pairs else F.lit(0)
-
-    sums = [(F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + before(n)).alias(n) for n in values]
-    return rows.select(*df.columns, *sums)
+    n_ranges = -(-df.count() // ROWS)
+    if n_ranges <= 1:
+        rows = rows.withColumn("_range", F.lit(0))
+    else:
+        rows = stored(rows.repartitionByRange(n_ranges, *place).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    sums = {n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in values}
+    if n_ranges <= 1:
+        return rows.select(*df.columns, *(c.alias(n) for n, c in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
+    before = totals.select("_range", *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values))
+    summed = rows.select("*", *(c.alias(f"_s_{n}") for n, c in sums.items())).join(before, "_range")
+    return summed.select(*df.columns, *((F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in values))
 
 
 def ranked(df: DataFrame, order: str, ties: list[str], name: str = "rank", descending: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
@@ -10,7 +12,10 @@ from ..operators import mutation as U
 from ..operators import pairing as P
 from ..operators import scoring as S
 from ..operators import stages as T
-from ..operators.stored import stored
+from ..operators import structure as R
+from ..operators.stored import shared_dir, stored
+from ..sources import maps as M
+from ..sources import stockholm as Q
 from .fixtures import ATOMS, ECS, HITS, MSA, SYMBOLS, atoms, ecs, genes, hits, msa_rows, table, with_views
 from .msa_queries import ALPHABET, LENGTH, THETA, WEIGHTS, _counted, _model, _model_sql, r6
 from .pair_oracles import _genes
@@ -109,8 +114,8 @@ def species_pairs(spark, d):
 def family_hits(spark, d):
     found = hits(spark, d).select("query", "idx", (F.col("start") % 60).alias("family"), (F.col("stop") - F.col("start")).alias("target_len"))
     parts = table(spark, d, "part")
-    clans = parts.where("p_partkey < 40").select(F.col("p_partkey").alias("family"), F.col("p_size").alias("clan"))
-    sizes = parts.where("p_partkey < 50").select(F.col("p_partkey").alias("family"), (F.col("p_size") * 7).cast("long").alias("n"))
+    clans = parts.select((F.col("p_partkey") + 20).alias("family"), F.col("p_size").alias("clan"))
+    sizes = parts.select((F.col("p_partkey") + 10).alias("family"), (F.col("p_size") * 7).cast("long").alias("n"))
     return K.family_hits(found, clans, sizes).select("query", "idx", "family", "clan", "num_seqs", r6("num_seqs_over_len"))
 
 
@@ -144,6 +149,26 @@ def distance_distribution(spark, d):
     return S.cumulative(pairs, "distance", ["id_1", "id_2"]).select("id_1", "id_2", "distance", F.col("below").cast("long"))
 
 
+def query_lifted(spark, d):
+    """Per label an alignment whose match columns have few gaps, and its first sequence's letters there as the query."""
+    rows = msa_rows(spark, d)
+    gaps = A.cells(rows).groupBy("label", "pos").agg(F.avg((F.col("sym") == 0).cast("int")).alias("g"))
+    reference = gaps.groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("g") <= 0.15, "x").otherwise(".").alias("c")))), lambda p: p["c"]), "").alias("value"))
+    letters = rows.groupBy("label").agg(F.min_by("residues", "seq_idx").alias("first")).join(reference, "label")
+    match = F.filter("first", lambda s, k: F.substring("value", k + 1, F.lit(1)) == "x")
+    query = F.array_join(F.transform(match, lambda s: F.substring(F.lit("BACGT"), s + 1, F.lit(1))), "")
+    return letters.select("label", Q.lifted(F.col("value"), query).alias("seq"), F.size(match).cast("long").alias("n_match"))
+
+
+def stored_maps(spark, d):
+    """Distances of all chains, written by tiles and read again: what each tile of each chain holds."""
+    rows = atoms(spark, d)
+    path = f"{shared_dir(spark)}/maps-{uuid.uuid4().hex}"
+    M.write_distance_map(rows.select("chain", F.col("residue").alias("idx")).distinct(), R.distance_map(rows), path, keys=("chain",))
+    found = M.read_distances(spark, path).withColumns({"ti": F.floor(F.col("i") / M.TILE), "tj": F.floor(F.col("j") / M.TILE)})
+    return found.groupBy("chain", "ti", "tj").agg(F.count("*").alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most")).select("chain", "ti", "tj", "n", r6("least"), r6("most"))
+
+
 def chain_atoms(spark, d):
     rows = atoms(spark, d)
     residues, kept = K.with_atoms(rows.select("chain", "residue").distinct(), rows, [1], "atom")
@@ -175,6 +200,8 @@ QUERIES = {
     "mutants_double": double_mutants,
     "complex_summary": complex_summary,
     "genome_distance_distribution": distance_distribution,
+    "alignment_query_lifted": query_lifted,
+    "struct_stored_maps": stored_maps,
     "struct_chain_atoms": chain_atoms,
     "species_annotation": species_columns,
 }
@@ -254,7 +281,7 @@ b AS (SELECT s_nationkey AS species, max((s_acctbal, s_suppkey)) AS m FROM suppl
 SELECT species, a.m[2] AS id_1, a.m[1] AS identity_1, b.m[2] AS id_2, b.m[1] AS identity_2 FROM a JOIN b USING (species) WHERE species IS NOT NULL""",
     "family_hits": with_views(HITS)
     + """SELECT query, idx, start % 60 AS family, c.p_size AS clan, CAST(s.p_size * 7 AS BIGINT) AS num_seqs, round(s.p_size * 7 / (stop - start), 6) AS num_seqs_over_len
-FROM hits LEFT JOIN part c ON c.p_partkey = start % 60 AND c.p_partkey < 40 LEFT JOIN part s ON s.p_partkey = start % 60 AND s.p_partkey < 50""",
+FROM hits LEFT JOIN part c ON c.p_partkey + 20 = start % 60 LEFT JOIN part s ON s.p_partkey + 10 = start % 60""",
     "model_inter_segment": _model_sql + " SELECT 'A_1' AS segment_i, CAST(i + 10 AS BIGINT) AS i, 'B_1' AS segment_j, CAST(j - 30 AS BIGINT) AS j, a, b, round(v, 6) AS v FROM couplings WHERE i <= 30 AND j > 30",
     "mutation_matrix": _model_sql
     + f""", {SINGLES}, {CONSERVED}
@@ -276,6 +303,15 @@ FROM ij JOIN singles x ON x.i = ij.i JOIN singles y ON y.i = ij.j
 SELECT job, count(*) AS num_pairs, CAST(sum((inter AND score >= 60000)::INT) AS BIGINT) AS num_significant_inter, min(n) FILTER (inter) AS first_inter_rank,
   round(max(p) FILTER (NOT inter AND own = 5), 6) AS precision_intra, round(max(p) FILTER (inter AND own = 5), 6) AS precision_inter FROM x GROUP BY job""",
     "genome_distance_distribution": _genes + "SELECT id_1, id_2, distance, row_number() OVER (ORDER BY distance, id_1, id_2) - 1 AS below FROM recip",
+    "alignment_query_lifted": with_views(MSA)
+    + """, g AS (SELECT label, pos, avg((sym = 0)::INT) <= 0.15 AS m, arg_min(sym, seq_idx) AS sym FROM msa GROUP BY label, pos)
+SELECT label, string_agg(CASE WHEN m THEN substr('BACGT', sym + 1, 1) ELSE '-' END, '' ORDER BY pos) AS seq, CAST(sum(m::INT) AS BIGINT) AS n_match FROM g GROUP BY label""",
+    "struct_stored_maps": with_views(ATOMS)
+    + """, p AS (
+  SELECT a.chain, a.residue AS i, b.residue AS j, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)) AS dist
+  FROM atoms a JOIN atoms b ON a.chain = b.chain AND a.residue < b.residue GROUP BY ALL),
+b AS (SELECT * FROM p UNION ALL SELECT chain, j, i, dist FROM p)
+SELECT chain, i // 64 AS ti, j // 64 AS tj, count(*) AS n, round(min(dist), 6) AS least, round(max(dist), 6) AS most FROM b GROUP BY ALL""",
     "struct_chain_atoms": with_views(ATOMS) + "SELECT chain, residue, atom, round(x, 6) AS x FROM atoms WHERE atom = 1 AND residue % 7 = 0 AND residue < 500",
     "species_annotation": "SELECT o_orderkey AS id, o_custkey AS name, CASE WHEN (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) >= (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) THEN CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END ELSE CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END END AS species FROM orders",
 }

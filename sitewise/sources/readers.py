@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import first_match, header_parts
 from ..operators.running import ranked
+from .stockholm import read_stockholm, read_stockholm_annotation  # noqa: F401
 
 #: Column names of the two hit tables, in order of the files.
 TBL = "target_name target_accession query_name query_accession full_evalue full_score full_bias domain_evalue domain_score domain_bias exp reg clu ov env dom rep inc description"
@@ -57,33 +58,6 @@ def a3m_to_a2m(sequences: DataFrame, first: str, inserts: str = "first") -> Data
     return sequences.withColumn("seq", F.when(same, F.col("seq")).otherwise(F.concat(*kept)))
 
 
-def read_stockholm(spark: SparkSession, path: str, raise_prefixed: bool = True) -> DataFrame:
-    """``file, aln, seq_id, seq`` of Stockholm alignments: blocks of an id are joined in order of lines.
-
-    A missing first line, a missing ``//`` and ids like ``1|name`` raise.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    bad = ~F.col("value").rlike(r"^\s*# STOCKHOLM 1\.0") | ~F.col("value").rlike(r"(?m)^//\s*$")
-    files = files.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("not a Stockholm file: "), "file")).cast("string")).otherwise(F.col("value")))
-    alignments = files.select("file", F.posexplode(F.split("value", r"(?m)^//\s*$")).alias("aln", "block"))
-    lines = alignments.select("file", "aln", F.posexplode(F.split("block", "\n")).alias("line", "text")).where((F.trim("text") != "") & ~F.col("text").startswith("#"))
-    rows = lines.select("file", "aln", "line", F.split(F.trim("text"), r"\s+").alias("p")).select("file", "aln", "line", F.col("p")[0].alias("seq_id"), F.col("p")[1].alias("chunk"))
-    if raise_prefixed:
-        rows = rows.withColumn("seq_id", F.when(F.col("seq_id").rlike(r"^\d+\|"), F.raise_error(F.concat(F.lit("prefixed id: "), "seq_id")).cast("string")).otherwise(F.col("seq_id")))
-    parts = F.sort_array(F.collect_list(F.struct("line", "chunk")))
-    return rows.groupBy("file", "aln", "seq_id").agg(F.min("line").alias("line"), F.array_join(F.transform(parts, lambda p: p["chunk"]), "").alias("seq"))
-
-
-def read_stockholm_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """``file, aln, line, kind, name, feature, value`` of GF, GC, GS and GR lines."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"(?m)^//\s*$")).alias("aln", "block"))
-    lines = files.select("file", "aln", F.posexplode(F.split("block", "\n")).alias("line", "text"))
-    of = lambda pattern, k: F.nullif(F.regexp_extract("text", pattern, k), F.lit(""))
-    whole, named = r"^#=(G[FC])\s+(\S+)\s+(.*)$", r"^#=(G[SR])\s+(\S+)\s+(\S+)\s+(.*)$"
-    rows = lines.select("file", "aln", "line", F.coalesce(of(whole, 1), of(named, 1)).alias("kind"), of(named, 2).alias("name"), F.coalesce(of(whole, 2), of(named, 3)).alias("feature"), F.coalesce(of(whole, 3), of(named, 4)).alias("value"))
-    return rows.where("kind IS NOT NULL")
-
-
 def detect_format(spark: SparkSession, path: str) -> str | None:
     """``fasta``, ``a3m`` (by suffix), ``stockholm`` or None, from the first line with text."""
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
