@@ -78,7 +78,7 @@ SELECT (SELECT CAST(sum(n) AS BIGINT) FROM a) AS num_seqs_1, (SELECT count(s) FR
   (SELECT CAST(sum(n) AS BIGINT) FROM b) AS num_seqs_2, (SELECT count(s) FROM b) AS num_nonred_species_2, (SELECT median(n) FROM b WHERE s IS NOT NULL) AS median_num_per_species_2,
   (SELECT count(*) FROM a JOIN b USING (s)) AS num_species_overlap""",
     "sifts_overlap_hits": with_views(HITS)
-    + """, g AS (SELECT p_size AS ac, p_brand AS structure, p_type AS chain, p_partkey % 150 AS s0, p_partkey % 150 + 30 AS s1 FROM part WHERE p_size <= 7)
+    + """, g AS (SELECT p_size AS ac, p_brand AS structure, p_type AS chain, p_partkey % 150 AS s0, p_partkey % 150 + 30 AS s1 FROM part)
 SELECT query AS alignment_id, structure, chain, CAST(sum(least(stop, s1) - greatest(start, s0)) AS BIGINT) AS overlap, min(s0) AS "first", max(s1) AS "last", max(score) AS score
 FROM hits JOIN g ON g.ac = hits.idx WHERE least(stop, s1) > greatest(start, s0) GROUP BY ALL HAVING sum(least(stop, s1) - greatest(start, s0)) >= 20""",
     "struct_distance_map": with_views(ATOMS) + f"SELECT a.chain, a.residue AS i, b.residue AS j, round(min({_dist}), 6) AS dist FROM atoms a JOIN atoms b ON a.chain = b.chain AND a.residue < b.residue GROUP BY ALL",

@@ -141,7 +141,7 @@ def concatenation_stats(spark, d):
 
 def sifts_hits(spark, d):
     found = hits(spark, d).select(F.col("query").alias("alignment_id"), F.col("idx").alias("ac"), "start", "stop", "score")
-    parts = table(spark, d, "part").where("p_size <= 7").select(F.col("p_size").alias("ac"), F.col("p_brand").alias("structure"), F.col("p_type").alias("chain"), (F.col("p_partkey") % 150).alias("seg_start"), (F.col("p_partkey") % 150 + 30).alias("seg_stop"))
+    parts = table(spark, d, "part").select(F.col("p_size").alias("ac"), F.col("p_brand").alias("structure"), F.col("p_type").alias("chain"), (F.col("p_partkey") % 150).alias("seg_start"), (F.col("p_partkey") % 150 + 30).alias("seg_stop"))
     return P.overlap_hits(found, parts)
 
 
