@@ -178,3 +178,18 @@ def test_running_totals_over_many_ranges(spark, monkeypatch):
     sizes = running.stored(rows.repartitionByRange(20, F.col("score").asc_nulls_last(), "k").withColumn("p", F.spark_partition_id())).groupBy("p").count().collect()
     assert max(r["count"] for r in sizes) < 200  # 600 rows share one score
     assert running.running_totals(rows.limit(0), "score", ["k"], {"n": F.lit(1)}).count() == 0
+
+
+def test_long_maps_make_few_folders(spark, tmp_path):
+    path = str(tmp_path / "store")
+    pairs = [("a", 97 * k, 97 * m, float(k + m)) for k in range(100) for m in range(k + 1, 100)]
+    distances = spark.createDataFrame([*pairs, ("a", 97, 0, 0.5), ("a", 0, 97, None)], "pdb string, i long, j long, dist double")
+    residues = spark.createDataFrame([("a", 97 * k) for k in range(100)], "pdb string, idx long")
+    M.write_distance_map(residues, distances, path, keys=("pdb",))
+    assert len(list((tmp_path / "store" / "distances").glob("t*/t*"))) <= M.AXIS * (M.AXIS + 1) // 2
+    want = {(i, j): d for _, i, j, d in pairs} | {(0, 97): 0.5}
+    want |= {(j, i): d for (i, j), d in want.items()}
+    assert {(r.i, r.j): r.dist for r in M.read_distances(spark, path).collect()} == want
+    found = {(r.i, r.j): r.dist for r in M.read_distances(spark, path, (300, 2000), (5000, 9000)).collect()}
+    assert found == {k: d for k, d in want.items() if 300 <= k[0] <= 2000 and 5000 <= k[1] <= 9000}
+    assert M.read_distances(spark, path).columns == ["pdb", "i", "j", "dist"]
