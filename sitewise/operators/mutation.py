@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import mutations
 
+#: Couplings of a model that every task holds.
+MODEL_ROWS = 500_000
+#: Cells of the sequences of one task.
+TASK_CELLS = 500_000
+
 
 def log_odds_model(pairs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fields as log site frequencies and couplings as log odds of pairs seen."""
@@ -23,13 +28,22 @@ def log_odds_model(pairs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataF
 def sequence_energies(cells: DataFrame, fields: DataFrame, couplings: DataFrame) -> DataFrame:
     """``seq_idx, fields, couplings, energy``.
 
-    Couplings of a sequence are found by joining its cells to (i, a), and the
-    result to (j, b): no pairs of cells are made that the model lacks.
+    A model of up to ``MODEL_ROWS`` couplings goes to the tasks, where each
+    sequence makes its pairs of cells and adds them up: no pair travels.  For
+    a larger one its cells are joined to (i, a), and the result to (j, b).
     """
     site = cells.join(fields, [cells.pos == fields.i, cells.sym == fields.a]).groupBy("seq_idx").agg(F.sum("v").alias("fields"))
-    left = cells.select("seq_idx", F.col("pos").alias("i"), F.col("sym").alias("a"))
-    right = cells.select("seq_idx", F.col("pos").alias("j"), F.col("sym").alias("b"))
-    pair = left.join(couplings, ["i", "a"]).join(right, ["seq_idx", "j", "b"]).groupBy("seq_idx").agg(F.sum("v").alias("couplings"))
+    if couplings.count() <= MODEL_ROWS:
+        tasks = max(cells.sparkSession.sparkContext.defaultParallelism, cells.count() // TASK_CELLS)
+        rows = cells.where("pos IS NOT NULL AND sym IS NOT NULL AND seq_idx IS NOT NULL").repartition(tasks, "seq_idx").groupBy("seq_idx").agg(F.collect_list(F.struct("pos", "sym")).alias("_cells"))
+        left = rows.select("seq_idx", "_cells", F.explode("_cells").alias("_l"))
+        pairs = left.select("seq_idx", F.col("_l.pos").alias("i"), F.col("_l.sym").alias("a"), F.explode(F.filter("_cells", lambda c: c["pos"] > F.col("_l.pos"))).alias("_r"))
+        found = pairs.select("seq_idx", "i", "a", F.col("_r.pos").alias("j"), F.col("_r.sym").alias("b")).join(F.broadcast(couplings), ["i", "a", "j", "b"])
+        pair = found.groupBy("seq_idx").agg(F.sum("v").alias("couplings"))
+    else:
+        left = cells.select("seq_idx", F.col("pos").alias("i"), F.col("sym").alias("a"))
+        right = cells.select("seq_idx", F.col("pos").alias("j"), F.col("sym").alias("b"))
+        pair = left.join(couplings, ["i", "a"]).join(right, ["seq_idx", "j", "b"]).groupBy("seq_idx").agg(F.sum("v").alias("couplings"))
     both = site.join(pair, "seq_idx", "outer").na.fill(0.0)
     return both.withColumn("energy", F.col("fields") + F.col("couplings"))
 

@@ -193,3 +193,41 @@ def test_segments_and_pairs(spark):
     mapped = C.segment_map(ecs, [{"segment": "A", "start": 5, "end": 8}, {"segment": "B", "start": 1, "end": 10}])
     assert [(r.segment_i, r.pos_i, r.segment_j, r.pos_j) for r in mapped.orderBy("i", "j").collect()] == [("A", 5, "A", 7), ("A", 5, "B", 5), ("A", 6, "B", 8)]
     assert [r.score for r in C.top(C.long_range(ecs), 1).collect()] == [3.0]
+
+
+def test_enrichment_of_many_pairs_has_no_single_task(spark, monkeypatch):
+    from sitewise.operators import running
+
+    monkeypatch.setattr(running, "ROWS", 50)
+    rows = [(k % 37, k % 41 + 50, k, float(k * 7919 % 101)) for k in range(400)]
+    pairs = spark.createDataFrame(rows, "i long, j long, line long, score double")
+    out = C.enrichment(pairs, 150, ties=("i", "j", "line"))
+    assert "Limit" not in out._jdf.queryExecution().optimizedPlan().toString()
+    best = sorted(rows, key=lambda r: (-r[3], *r[:3]))[:150]
+    want = {}
+    for i, j, _, s in best:
+        want[i], want[j] = want.get(i, 0) + s, want.get(j, 0) + s
+    mean = sum(r[3] for r in best) / 150
+    assert {r.i: round(r.enrichment, 9) for r in out.collect()} == {k: round(v / mean, 9) for k, v in want.items()}
+
+
+def test_segments_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", 5)
+    monkeypatch.setattr(S, "TASK_ROWS", 7)
+    rows = [(k, p) for k, ps in (("a", [*range(-3, 18), 18, 19, 21, 24, 25, 40]), ("b", [4, 4, 5, 9, 10, 11, 30]), (None, [1, 2, 7]), ("c", [None, 3, None])) for p in ps]
+    got = sorted(map(tuple, S.segments(spark.createDataFrame(rows, "k string, pos long"), ["k"]).collect()), key=str)
+    want = [("a", -3, 19), ("a", 21, 21), ("a", 24, 25), ("a", 40, 40), ("b", 4, 5), ("b", 9, 11), ("b", 30, 30), (None, 1, 2), (None, 7, 7), ("c", 3, 3), ("c", None, None)]
+    assert got == sorted(want, key=str)
+
+
+def test_energies_of_small_and_large_models_are_equal(spark, monkeypatch):
+    from sitewise.operators import mutation as U
+
+    cells = spark.createDataFrame([(s, p, (s * p) % 3) for s in range(9) for p in range(1, 7) if (s + p) % 5], "seq_idx long, pos int, sym int")
+    fields = spark.createDataFrame([(p, a, p + 0.1 * a) for p in range(1, 7) for a in range(3)], "i int, a int, v double")
+    couplings = spark.createDataFrame([(i, j, a, b, i * 0.3 - j * 0.7 + a - b) for i in range(1, 7) for j in range(i + 1, 7) for a in range(3) for b in range(2)], "i int, j int, a int, b int, v double")
+    small = U.sequence_energies(cells, fields, couplings)
+    assert "Join" in small._jdf.queryExecution().optimizedPlan().toString() and "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(U, "MODEL_ROWS", 0)
+    rounded = lambda df: {r.seq_idx: tuple(round(v, 9) for v in (r.fields, r.couplings, r.energy)) for r in df.collect()}
+    assert rounded(small) == rounded(U.sequence_energies(cells, fields, couplings)) and len(rounded(small)) == 9
