@@ -58,7 +58,8 @@ def number_of_pairs(ecs: DataFrame, num_pairs: float | int) -> int:
 def enrichment(ecs: DataFrame, num_pairs: float | int = 1.0, score: str = "score", least: int = 6, ties: tuple = ("i", "j")) -> DataFrame:
     """``i, enrichment``: each site's summed score among the top long-range pairs, over their mean score."""
     n = number_of_pairs(ecs, num_pairs)
-    best = long_range(ecs, least).orderBy(F.desc(score), *ties).limit(n).select("i", "j", score)
+    rows = long_range(ecs, least).select(*dict.fromkeys(["i", "j", score, *ties]))
+    best = ranked(rows, score, list(ties), "_rank").where(F.col("_rank") <= n).select("i", "j", score)
     mean = best.agg(F.avg(score)).first()[0]
     flat = best.select("i", score).union(best.select("j", score)).toDF("i", "s")
     return flat.groupBy("i").agg((F.sum("s") / F.lit(mean)).alias("enrichment"))
