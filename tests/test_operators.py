@@ -231,3 +231,18 @@ def test_energies_of_small_and_large_models_are_equal(spark, monkeypatch):
     monkeypatch.setattr(U, "MODEL_ROWS", 0)
     rounded = lambda df: {r.seq_idx: tuple(round(v, 9) for v in (r.fields, r.couplings, r.energy)) for r in df.collect()}
     assert rounded(small) == rounded(U.sequence_energies(cells, fields, couplings)) and len(rounded(small)) == 9
+
+
+def test_overlap_hits_of_equal_intervals_and_segments(spark):
+    hits = spark.createDataFrame([(k % 3, 1, 10 * (k % 2), 10 * (k % 2) + 30, float(k)) for k in range(8)], "alignment_id long, ac long, start long, stop long, score double")
+    segments = spark.createDataFrame([(1, s, "c", 5, 25) for s in ("p", "p", None)] + [(1, "p", "c", 20, 60), (2, "p", "c", 0, 90)], "ac long, structure string, chain string, seg_start long, seg_stop long")
+    out = P.overlap_hits(hits, segments)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    want = {}
+    for h in hits.collect():
+        for s in segments.collect():
+            n = min(h.stop, s.seg_stop) - max(h.start, s.seg_start)
+            if h.ac == s.ac and n > 0:
+                want.setdefault((h.alignment_id, s.structure, s.chain), []).append((n, s.seg_start, s.seg_stop, h.score))
+    sums = {k: (sum(r[0] for r in v), min(r[1] for r in v), max(r[2] for r in v), max(r[3] for r in v)) for k, v in want.items()}
+    assert {tuple(r[:3]): tuple(r[3:]) for r in out.collect()} == {k: v for k, v in sums.items() if v[0] >= 20}
