@@ -10,7 +10,9 @@ token can never be merged across, so a word is cut there for certain.  The
 fragments are encoded independently and their ids concatenated.  Fragments of
 up to ``SHORT`` bytes are merged together as numpy rows, all of one length at
 a time, each step merging every row's lowest-ranked pair; longer ones go to
-the library's BPE model.  A bounded cache keeps the ids of recent words.
+the library's BPE model.  A bounded cache of two generations keeps the ids of
+recent words: when the younger is full it becomes the older, and words met again
+move on, so that words met once don't push out those met often.
 
 Texts with characters outside ``PLAIN`` (where Python's lower-casing and the
 library's normaliser might differ) are normalised and split by the library.
@@ -24,7 +26,7 @@ columns pass through; an empty table gives an empty table.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from .common import documents, others, with_fields
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHORT = 24
+#: Words of a generation of the cache.
 CACHED_WORDS = 150_000
 #: Anything else is left to the library's normaliser.
 NOT_PLAIN = regex.compile(r"[^\t-\r -~¡-įı-ɏ]")
@@ -91,9 +94,7 @@ class Encoder:
             raise ValueError(f"{path} isn't a BPE vocabulary with word ends and neither decoder nor post-processor")
         vocab = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.tokenizer = Tokenizer.from_file(path)
-        self.library = self.tokenizer.model
-        self.library_inner = models.BPE(vocab=vocab, merges=merges)
+        self.path = path
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
@@ -114,6 +115,19 @@ class Encoder:
             self.tokens[token["id"]] = token["content"]
         self.forced = ~together
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's objects are made when a text first needs them: they are tens of MB."""
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def library_inner(self) -> models.BPE:
+        """The model for fragments that don't end their word."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return models.BPE(vocab=model["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
 
     def _short(self, symbols: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Rows of equal length, merged as far as they go: (row numbers, ids)."""
@@ -142,8 +156,9 @@ class Encoder:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of non-empty words, one after another, and each word's number of ids."""
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words])
+        return self._encode_bytes(np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words]))
+
+    def _encode_bytes(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         closes = np.zeros(len(raw), bool)
         closes[ends - 1] = True
         cut = closes.copy()
@@ -161,7 +176,7 @@ class Encoder:
                 found = []
                 for i in which.tolist():
                     text = "".join([self.characters[b] for b in raw[start[i] : stop[i]].tolist()])
-                    model = self.library if closes[stop[i] - 1] else self.library_inner
+                    model = self.tokenizer.model if closes[stop[i] - 1] else self.library_inner
                     found.append((np.array([i]), np.array([[t.id for t in model.tokenize(text)]], np.int32)))
             for row, ids in found:
                 count[row] = ids.shape[1]
@@ -175,14 +190,26 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Caches the ids of new stretches without white space."""
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache.clear()
         words = [w for w in words if w]
-        split = [self.words.findall(w) for w in words]
-        ids, count = self.encode_words([p.encode() for parts in split for p in parts])
+        # a stretch of letters is one word
+        split = [[w] if w.isalpha() else self.words.findall(w) for w in words]
+        raw = np.frombuffer("".join([p + "\n" for parts in split for p in parts]).encode(), np.uint8)
+        line = np.flatnonzero(raw == 10)  # no word has a line end
+        ids, count = self._encode_bytes(raw[raw != 10], line - np.arange(len(line)))
         buffer = ids.tobytes()
-        ends = 4 * np.r_[0, np.cumsum(count)][np.cumsum([len(parts) for parts in split])]
-        self.cache.update(zip(words, (buffer[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()))))
+        ends = (4 * np.r_[0, np.cumsum(count)][np.cumsum(list(map(len, split)))]).tolist()
+        self.cache.update(zip(words, map(buffer.__getitem__, map(slice, [0, *ends[:-1]], ends))))
+
+    def _know(self, words: set[str]) -> None:
+        """Sees to it that the cache has all of these words."""
+        new = words.difference(self.cache)
+        if self.cache and len(self.cache) + len(new) > CACHED_WORDS:
+            self.cache, self.older, new = {}, self.cache, words
+        again = new.intersection(self.older)
+        self.cache.update(zip(again, map(self.older.__getitem__, again)))
+        new = new - again
+        if new:
+            self._learn(new)
 
     def _library_split(self, text: str) -> bytes:
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
@@ -196,12 +223,7 @@ class Encoder:
             parts = self.specials.split(text) if "<|" in text else [text]
             stretches.append([(p in self.special, NOT_PLAIN.search(p) is None, p.lower().split() if p not in self.special else p, p) for p in parts if p])
         out = []
-        new = {w for parts in stretches for special, plain, words, _ in parts if plain and not special for w in words if w not in self.cache}
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
-            new = {w for parts in stretches for special, plain, words, _ in parts if plain and not special for w in words}
-        if new:
-            self._learn(new)
+        self._know({w for parts in stretches for special, plain, words, _ in parts if plain and not special for w in words})
         get = self.cache.__getitem__
         for parts in stretches:
             out.append(b"".join([self.special[raw] if special else b"".join(map(get, words)) if plain else self._library_split(raw) for special, plain, words, raw in parts]))

@@ -58,3 +58,18 @@ def test_frames(spark):
     assert sorted(len(r.ids) for r in got) == [0, 0, 8, 8]
     assert {r._row.ids for r in got} == {None, "k"}
     assert bpe_codec.encode(frame.limit(0)).count() == 0
+
+
+def test_frequent_words_stay_cached(monkeypatch):
+    """Words met once, however many, don't push out one that comes again and again."""
+    monkeypatch.setattr(bpe_codec, "CACHED_WORDS", 100)
+    code = bpe_codec.Encoder(VOCABULARY)
+    learned = []
+    learn = code._learn
+    monkeypatch.setattr(code, "_learn", lambda words: (learned.extend(words), learn(words)))
+    for i in range(20):
+        texts = ["often " + " ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(26))]
+        (ids,) = code.encode(texts)
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(texts[0], add_special_tokens=False).ids
+    assert learned.count("often") == 1 and len(learned) == 20 * 26 + 1
+    assert len(code.cache) <= 100 and len(code.older) <= 100
