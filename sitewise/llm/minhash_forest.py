@@ -15,7 +15,11 @@ Method:
    labelled.  That ties up crowds of near copies with a few pairs for a node.
 3. A region is what shares a prefix in one of ``ORDERS`` orders.  Only regions
    with several labels can hold more links; tasks find them with partial
-   minima, maxima and counts.  In those all pairs of different labels are
+   minima, maxima and counts.  In those each node is first compared with the
+   ``NEAREST`` of its regions' nodes of least and greatest label, and labels are taken
+   anew: crowds that are no neighbours in the sorted orders become one
+   component without making their pairs.
+   After that all pairs of different labels are
    candidates; so a link is missed only if its nodes share no prefix in any
    order.  The depth of the prefix adapts to the region: four values, and where
    more than ``GROUP`` nodes share them six.  At the last depth regions are
@@ -63,6 +67,8 @@ GROUP = 256
 FIRST_ORDERS = 8
 #: Values by which these are sorted.
 SORTED_BY = 8
+#: Comparisons of a node with ends of its regions.
+NEAREST = 3
 #: Numbers of 64 bits in a parity bitmap.
 BITMAP = 8
 _CACHED_WORDS = 200_000
@@ -215,14 +221,33 @@ def across_labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def candidates(nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Pairs ``a, b`` of nodes of different labels that share a region."""
-    found, rows = [], regions(nodes, DEPTHS[0])
+def shared(rows: DataFrame) -> DataFrame:
+    """Of ``regions``: those with several labels."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    mixed = stash(mixed, "mixed")
+    found = stash(rows.join(mixed.hint("merge"), "key", "left_semi"), "regions")
+    discard(mixed)
+    return found
+
+
+def ends(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that may be similar of each node with nodes of least or greatest label in its regions, ``NEAREST`` of another label at most."""
+    rows = rows.join(nodes.select("id", "bits"), "id")
+    end = F.struct("label", "id", "n", "bits")
+    outer = rows.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"))
+    both = rows.join(outer, "key").select("id", "n", "label", "bits", F.explode(F.array("low", "high")).alias("e"))
+    differ = _differ("bits", "e.bits")
+    near = both.where((F.col("label") != F.col("e.label")) & _sizes_fit(F.col("n"), F.col("e.n")) & _few_bits(differ, F.col("n") + F.col("e.n")))
+    near = near.groupBy("id").agg(F.collect_set(F.struct((differ / (F.col("n") + F.col("e.n"))).alias("apart"), F.col("e.id").alias("end"))).alias("near"))  # two a region at most
+    near = near.select("id", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("e"))
+    return near.select(F.least("id", "e.end").alias("a"), F.greatest("id", "e.end").alias("b")).distinct()
+
+
+def candidates(nodes: DataFrame, group: int = GROUP, rows: DataFrame | None = None) -> DataFrame:
+    """Pairs ``a, b`` of nodes of different labels that share a region; ``rows``: the ``regions`` of the least depth, if known."""
+    found, rows = [], regions(nodes, DEPTHS[0]) if rows is None else rows
     for depth in DEPTHS:
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        mixed = stash(mixed, "mixed")
-        rows = stash(rows.join(mixed.hint("merge"), "key", "left_semi"), "regions")
-        discard(mixed)
+        rows = shared(rows)
         if depth == DEPTHS[-1]:
             found.append(across_labels(rows, nodes))
             break
@@ -279,7 +304,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     labels = connected_components(links).withColumnRenamed("node", "id")
     labelled = stash(nodes.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "labelled")
     discard(nodes)
-    more = stash(candidates(labelled, group).join(near, ["a", "b"], "left_anti"), "candidates")
+    rows = shared(regions(labelled, DEPTHS[0]))
+    some = stash(ends(rows, labelled).join(near, ["a", "b"], "left_anti"), "ends")
+    if not some.isEmpty():
+        links = links.union(verified(some, labelled, mine))
+        labels = cut(connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("label")))
+        again, earlier = (stash(df.withColumnRenamed("label", "own").join(labels, "id", "left").withColumn("label", F.coalesce("label", "own")).select(df.columns), name) for df, name in ((labelled, "labelled"), (rows, "regions")))
+        discard(labelled, rows)
+        labelled, rows = again, earlier
+    near = near.union(some)
+    more = stash(candidates(labelled, group, rows).join(near, ["a", "b"], "left_anti"), "candidates")
+    discard(rows)
     nodes = stash(labelled.select("id", "digest", "_key", "_ver", F.col("label").alias("root")), "components")
     discard(labelled)
     if not more.isEmpty():

@@ -101,3 +101,14 @@ def test_signatures_estimate_similarity():
     v = rng.integers(0, 1 << 64, 1000, np.uint64)
     equal = [(m.signature(v[:k]) == m.signature(v)).mean() for k in (250, 500, 850, 1000)]
     assert np.allclose(equal, (0.25, 0.5, 0.85, 1), atol=0.13)
+
+
+def test_crowd_makes_few_pairs(spark, monkeypatch):
+    """Pairs of a crowd that its neighbours don't tie up grow as its nodes do, not as all their pairs."""
+    monkeypatch.setattr(m, "neighbours", lambda nodes: nodes.limit(0).selectExpr("id AS a", "id AS b"))
+    made, verified = [], m.verified
+    monkeypatch.setattr(m, "verified", lambda pairs, *rest: (made.append(pairs.count()), verified(pairs, *rest))[1])
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    check(spark, [(i, edited(rng, base, 3)) for i in range(80)])
+    assert sum(made) <= 5 * 80
