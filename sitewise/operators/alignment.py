@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Sequences of a block of the all-pairs comparison.
-BLOCK = 2048
+BLOCK = 4096
+#: Rows of a block that meet another block at a time.
+SLAB = 512
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -60,40 +64,81 @@ def site_frequencies(rows: DataFrame, n_symbols: int) -> DataFrame:
 
 
 def pair_frequencies(rows: DataFrame) -> DataFrame:
-    """``i, j, a, b, frequency`` of symbols seen together at positions i < j."""
+    """``i, j, a, b, frequency`` of symbols seen together at positions i < j.
+
+    Tasks add up their rows' pairs as products of indicator matrices, so they
+    send on a row for each pair of cells and not one for each pair of each sequence.
+    """
     total = rows.agg(F.sum(_weight(rows))).first()[0]
-    after = lambda i: F.transform(F.slice("residues", i + 2, F.size("residues")), lambda b, k: F.struct((i + 1).alias("i"), (i + k + 2).alias("j"), F.element_at("residues", i + 1).alias("a"), b.alias("b")))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("residues") - 2), after))
-    counted = rows.where(F.size("residues") > 1).select(_weight(rows).alias("w"), F.explode(pairs).alias("p")).groupBy("p.i", "p.j", "p.a", "p.b").agg(F.sum("w").alias("w"))
-    return counted.select("i", "j", "a", "b", (F.col("w") / total).alias("frequency"))
+    names, kinds = ("i", "j", "a", "b", "w"), (*[pa.int32()] * 4, pa.float64())
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            lists, weight = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for length in np.unique(size[size > 1]).astype(int).tolist():
+                which = np.flatnonzero(size == length)
+                values = lists.take(pa.array(which)).flatten()
+                symbols = [s for s in values.unique().to_pylist() if s is not None]
+                absent = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, length)
+                values = values.fill_null(symbols[0] if symbols else 0).to_numpy().reshape(-1, length)
+                shown = {s: (values == s) & ~absent for s in symbols} | ({None: absent} if absent.any() else {})
+                for a, x in shown.items():
+                    left = (x * weight[which, None]).T
+                    for b, y in shown.items():
+                        # weight and number of sequences: a pair that was seen may weigh nothing
+                        found = np.stack([left @ y.astype(float), x.T.astype(float) @ y])
+                        sums[length, a, b] = sums.get((length, a, b), 0) + found
+        for (length, a, b), (w, n) in sums.items():
+            i, j = np.nonzero(np.triu(n, 1))
+            columns = (i + 1, j + 1, [a] * len(i), [b] * len(i), w[i, j])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+
+    kind = rows.schema["residues"].dataType.elementType.simpleString()
+    made = rows.select(F.col("residues").cast("array<int>").alias("r"), _weight(rows).cast("double").alias("w")).mapInArrow(run, "i int, j int, a int, b int, w double")
+    counted = made.groupBy("i", "j", "a", "b").agg(F.sum("w").alias("w"))
+    return counted.select("i", "j", F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), (F.col("w") / total).alias("frequency"))
 
 
 def sequence_weights(rows: DataFrame, theta: float, block: int = BLOCK) -> DataFrame:
     """``rows`` with ``n_similar`` (sequences, itself included, of identity ``theta`` or more over the whole length) and ``weight``, its inverse.
 
     All pairs are compared, block against block: each block of sequences meets
-    every other in one group, where identities are matrix products.
+    every other in one group, where identities are products of indicator
+    matrices, ``SLAB`` rows at a time.
     """
     blocks = max(1, -(-rows.count() // block))
-    length = F.size("residues")
-    numbered = rows.select("seq_idx", "residues", F.pmod(F.xxhash64("seq_idx"), F.lit(blocks)).cast("int").alias("own"))
-    meets = numbered.select("seq_idx", "residues", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    meets = meets.select("seq_idx", "residues", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def packed(batches):
+        for batch in batches:
+            found = [np.array(r, np.int32).tobytes() for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["seq_idx", "r"])
+
+    numbered = rows.where(F.size("residues") > 0).select(F.col("seq_idx").cast("long").alias("seq_idx"), F.col("residues").cast("array<int>").alias("r")).mapInArrow(packed, "seq_idx long, r binary")
+    numbered = numbered.withColumn("own", F.pmod(F.xxhash64("seq_idx"), F.lit(blocks)).cast("int"))
+    meets = numbered.select("seq_idx", "r", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    meets = meets.select("seq_idx", "r", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         mine = group[group["own"] == group["x"]]
         theirs = group[group["own"] == group["y"]]
-        a, b = (np.stack(g["residues"].to_numpy()) if len(g) else np.empty((0, 0), int) for g in (mine, theirs))
+        a, b = (np.frombuffer(b"".join(g["r"]), np.int32).reshape(len(g), -1) if len(g) else np.empty((0, 0), int) for g in (mine, theirs))
         if not len(a) or not len(b):
             return pd.DataFrame({"seq_idx": [], "n": []})
-        same = sum((a == s).astype(np.float32) @ (b == s).astype(np.float32).T for s in np.union1d(a, b))
-        near = same >= theta * a.shape[1] - 1e-6
-        out = [pd.DataFrame({"seq_idx": mine["seq_idx"], "n": near.sum(axis=1)})]
+        symbols = np.intersect1d(a, b)
+        shown = lambda x: np.concatenate([x == s for s in symbols], axis=1).astype(np.float32) if len(symbols) else np.zeros((len(x), 1), np.float32)
+        second, ours, others = shown(b).T, [], np.zeros(len(b), np.int64)
+        for at in range(0, len(a), SLAB):
+            near = shown(a[at : at + SLAB]) @ second >= theta * a.shape[1] - 1e-6
+            ours.append(near.sum(axis=1))
+            others += near.sum(axis=0)
+        out = [pd.DataFrame({"seq_idx": mine["seq_idx"], "n": np.concatenate(ours)})]
         if mine["own"].iloc[0] != theirs["own"].iloc[0]:
-            out.append(pd.DataFrame({"seq_idx": theirs["seq_idx"], "n": near.sum(axis=0)}))
+            out.append(pd.DataFrame({"seq_idx": theirs["seq_idx"], "n": others}))
         return pd.concat(out)
 
-    counted = meets.where(length > 0).groupBy("x", "y").applyInPandas(compare, "seq_idx long, n long").groupBy("seq_idx").agg(F.sum("n").alias("n_similar"))
+    counted = meets.groupBy("x", "y").applyInPandas(compare, "seq_idx long, n long").groupBy("seq_idx").agg(F.sum("n").alias("n_similar"))
     return rows.join(counted, "seq_idx").withColumn("weight", 1.0 / F.col("n_similar"))
 
 

@@ -1,6 +1,7 @@
 """Small fixed cases of operators and readers."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -246,3 +247,23 @@ def test_overlap_hits_of_equal_intervals_and_segments(spark):
                 want.setdefault((h.alignment_id, s.structure, s.chain), []).append((n, s.seg_start, s.seg_stop, h.score))
     sums = {k: (sum(r[0] for r in v), min(r[1] for r in v), max(r[2] for r in v), max(r[3] for r in v)) for k, v in want.items()}
     assert {tuple(r[:3]): tuple(r[3:]) for r in out.collect()} == {k: v for k, v in sums.items() if v[0] >= 20}
+
+
+def test_pair_frequencies_by_products(spark):
+    """Rows of different lengths, symbols that are missing or of any number, weights of nothing; a task sends on pairs of cells, not of sequences."""
+    rows = spark.createDataFrame([(0, [1, 2, None], 1.0), (1, [1, 2, -3], 0.5), (2, [7, 2], 0.0), (3, [5], 2.0), (4, [], 1.0)], "seq_idx long, residues array<int>, weight double")
+    got = {(r.i, r.j, r.a, r.b): r.frequency for r in A.pair_frequencies(rows).collect()}
+    want = {(1, 2, 1, 2): 1.5, (1, 3, 1, None): 1.0, (2, 3, 2, None): 1.0, (1, 3, 1, -3): 0.5, (2, 3, 2, -3): 0.5, (1, 2, 7, 2): 0.0}
+    assert got == {k: w / 4.5 for k, w in want.items()}
+    assert "Generate" not in A.pair_frequencies(rows)._jdf.queryExecution().toString()
+
+
+def test_sequence_weights_by_slabs(spark, monkeypatch):
+    monkeypatch.setattr(A, "SLAB", 2)
+    rng = random.Random(1)
+    seqs = [[rng.choice([0, 1, 9, -2]) for _ in range(8)] for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "seq_idx long, residues array<int>")
+    near = lambda a, b: sum(x == y for x, y in zip(a, b)) >= 4
+    for block in (7, 64):
+        got = {r.seq_idx: r.n_similar for r in A.sequence_weights(rows, 0.5, block).collect()}
+        assert got == {i: sum(near(a, b) for b in seqs) for i, a in enumerate(seqs)}
