@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.llm import language_id, line_dedup, packing, simhash_dedup, suffix_dedup
-from sitewise.llm.common import documents, small_batches, stash
+from sitewise.llm.common import documents, lean_workers, small_batches, stash
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text in a language that can be told go."""
+    lean_workers(spark)
     small_batches(spark)
     return language_id.accepted(language_id.identify(docs), docs.columns)
 
@@ -39,18 +40,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays."""
+    lean_workers(spark)
     small_batches(spark)
     return simhash_dedup.representatives(docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of long strings that came before go."""
+    lean_workers(spark)
     small_batches(spark)
     return _sized(suffix_dedup.with_kept_text(suffix_dedup.dedup(docs), docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their place in sequences."""
+    lean_workers(spark)
     small_batches(spark)
     return packing.pack_documents(docs)
 

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, documents, stash
+from .common import discard, documents, lean_workers, stash
 from .windows import mix, pieces
 
 LEAST = 100
@@ -326,6 +326,7 @@ def ranked(candidates: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_workers(spark)
     counted, totals = phrases(documents(spark, sf_dir).select("text", "lang"))
     return ranked(not_inside(stash(scored(counted, totals), "scored")))
 

@@ -73,3 +73,16 @@ def test_products_beyond_64_bits(spark):
     counted = spark.createDataFrame([("en", ["a"], 4 * 10**12), ("en", ["b"], 3 * 10**12), ("en", ["a", "b"], 2 * 10**12)], "lang string, words array<string>, f long")
     totals = spark.createDataFrame([("en", 10**15 + 7)], "lang string, n long")
     assert m.scored(counted, totals).first().score == 1000 * 2 * 10**12 * (10**15 + 7) // (12 * 10**24)
+
+
+def test_workers_give_memory_back(spark):
+    from sitewise.llm.common import lean_workers
+
+    def pool(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pa.default_memory_pool().backend_name] * batch.num_rows)], names=["pool"])
+
+    lean_workers(spark)
+    assert spark.range(1).mapInArrow(pool, "pool string").first().pool == "system"
