@@ -134,35 +134,55 @@ def _forest(values: np.ndarray) -> list[tuple[int, int]]:
         label = least
 
 
-def _links(batches):
-    """Rows come sorted by key; a group may cross batches."""
-    rest_key = rest = np.empty(0, np.int64)
-    for batch in batches:
-        key = np.concatenate([rest_key, batch.column(0).to_numpy()])
-        fp = np.concatenate([rest, batch.column(1).to_numpy()])
-        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        rest_key, rest = key[last:], fp[last:]
-        yield _linked(key[:last], fp[:last])
-    yield _linked(rest_key, rest)
+def _links(group: int):
+    """Rows come sorted by key; a key's rows may cross batches. Of a key with more than ``group`` fingerprints each comes out by itself, without ``b``, and no more than a batch and that many wait."""
+
+    def met(batches):
+        rest_key = rest = none = np.empty(0, np.int64)
+        crowd = None  # a crowded key of which more rows may come
+        for batch in batches:
+            key = np.concatenate([rest_key, batch.column(0).to_numpy()])
+            fp = np.concatenate([rest, batch.column(1).to_numpy()])
+            more = 0 if crowd is None else int(np.searchsorted(key, crowd, "right"))
+            yield _edges([], fp[:more])
+            key, fp = key[more:], fp[more:]
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield _linked(key[:last], fp[:last], group)
+            rest_key, rest = key[last:], fp[last:]
+            if len(rest) > group:
+                yield _edges([], rest)
+                crowd, rest_key, rest = key[-1], none, none
+        yield _linked(rest_key, rest, group)
+
+    return met
+
+
+def _edges(found: list[tuple[int, int]], alone: np.ndarray) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array([*a, *alone.tolist()], pa.int64()), pa.array([*b, *[None] * len(alone)], pa.int64())], names=["a", "b"])
 
 
-def _linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+def _linked(key: np.ndarray, fp: np.ndarray, group: int) -> pa.RecordBatch:
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, int)
-    several = np.diff(edges) > 1
+    size = np.diff(edges)
+    several = (size > 1) & (size <= group)
     found = [link for lo, hi in zip(edges[:-1][several].tolist(), edges[1:][several].tolist()) for link in _forest(fp[lo:hi])]
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return _edges(found, fp[np.repeat(size > group, size)])
 
 
 def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
-    """Edges ``a, b`` that connect all fingerprints (column ``fp``, distinct) at distance two or less."""
+    """Edges ``a, b`` that connect all fingerprints (column ``fp``, distinct) at distance two or less.
+
+    Keys go from their shuffle straight to the comparison: Spark may drop a
+    repartition by key that follows a join on it, and read that join's side by
+    mapper once the other turns out small, so a key's rows would part.
+    """
     keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
-    large = cut(keys.groupBy("key").count().where(F.col("count") > group).select("key"))
-    small = keys.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    near = small.mapInArrow(_links, "a long, b long")
-    if large.isEmpty():
+    met = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links(group), "a long, b long"))
+    near = met.where("b IS NOT NULL")
+    crowded = met.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    if crowded.isEmpty():
         return near
-    crowded = keys.join(large, "key", "left_semi").select("fp").distinct()
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64)))
     centres = crowded.select("fp", F.explode(flips).alias("centre"))
     heads = centres.groupBy("centre").agg(F.min("fp").alias("head"), F.max("fp").alias("top")).where("head != top").select("centre", "head")

@@ -104,6 +104,29 @@ def test_crowded_keys(spark, group):
     assert len({next(iter(p)) for p in parts.values()}) == len(parts)
 
 
+def test_keys_go_from_their_shuffle_to_the_comparison(spark, monkeypatch):
+    """Above a join on the key Spark drops a repartition by it and may read that join's side by mapper, which parts a key's rows."""
+    plans, cut = [], s.cut
+    see = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(s, "cut", lambda df: (see(df), cut(df))[1])
+    fps = [(i * 7 % 5 << 50 | i << 3,) for i in range(300)]
+    see(s.links(spark.createDataFrame(fps, "fp long").distinct(), 5))
+    compared = [p for p in plans if "sortWithin" in p or "Sort [key" in p]
+    assert compared and all("REPARTITION_BY_COL" in p and "Join" not in p.split("MapInArrow _keys")[0] for p in compared)
+
+
+def test_crowd_over_many_batches():
+    """A key's rows that come in many batches are all handed on, and none is held back for long."""
+    key = np.repeat([1, 2, 3, 4, 5], [2, 7, 1, 30, 2]).astype(np.int64)
+    fp = np.arange(len(key), dtype=np.int64) << 8
+    fp[[0, 1, 40, 41]] = [0, 1, 1 << 60, (1 << 60) + 3]
+    for rows in (1, 3, 4, 100):
+        batches = (s.pa.RecordBatch.from_arrays([s.pa.array(key[i : i + rows]), s.pa.array(fp[i : i + rows])], names=["key", "fp"]) for i in range(0, len(key), rows))
+        got = [tuple(r.values()) for b in s._links(5)(batches) for r in b.to_pylist()]
+        assert sorted(a for a, b in got if b is None) == fp[2:9].tolist() + fp[10:40].tolist()
+        assert [r for r in got if r[1] is not None] == [(1, 0), ((1 << 60) + 3, 1 << 60)]
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
