@@ -12,6 +12,7 @@ from sitewise.operators import alignment as A
 from sitewise.operators import couplings as C
 from sitewise.operators import folding as O
 from sitewise.operators import mutation as U
+from sitewise.operators import overlaps as V
 from sitewise.operators import pairing as P
 from sitewise.operators import running as R
 from sitewise.operators import structure as S
@@ -267,3 +268,29 @@ def test_sequence_weights_by_slabs(spark, monkeypatch):
     for block in (7, 64):
         got = {r.seq_idx: r.n_similar for r in A.sequence_weights(rows, 0.5, block).collect()}
         assert got == {i: sum(near(a, b) for b in seqs) for i, a in enumerate(seqs)}
+
+
+@pytest.mark.parametrize("hits_a_block,segments_a_block,cells", [(500_000, 500_000, 1 << 21), (7, 5, 40)])
+def test_overlap_hits_by_blocks(spark, monkeypatch, hits_a_block, segments_a_block, cells):
+    """No row of a hit and a segment is made by a join; ends that are null bound nothing, as in SQL."""
+    for name, value in (("HITS", hits_a_block), ("SEGMENTS", segments_a_block), ("CELLS", cells)):
+        monkeypatch.setattr(V, name, value)
+    rng = random.Random(8)
+    end = lambda low, high: None if rng.random() < 0.05 else rng.randrange(low, high)
+    hits = [(rng.choice([None, *range(9)]), rng.choice([None, "P1", "P2", "P3", "Q"]), end(0, 60), end(30, 100), rng.choice([None, float("nan"), rng.random()])) for _ in range(60)]
+    segments = [(rng.choice([None, "P1", "P2", "P3", "R"]), rng.choice([None, "1abc", "2abc"]), rng.choice("AB"), end(0, 60), end(30, 100)) for _ in range(50)]
+    out = P.overlap_hits(spark.createDataFrame(hits, "alignment_id int, ac string, start long, stop int, score double"), spark.createDataFrame(segments, "ac string, structure string, chain string, seg_start int, seg_stop long"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "seg_start" not in plan.split("Join Inner")[0].split("MapInArrow")[1]
+    want = {}
+    for alignment, ac, start, stop, score in hits:
+        for other, structure, chain, s0, s1 in segments:
+            lows, highs = [v for v in (start, s0) if v is not None], [v for v in (stop, s1) if v is not None]
+            if ac is not None and ac == other and lows and highs and min(highs) > max(lows):
+                want.setdefault((alignment, structure, chain), []).append((min(highs) - max(lows), s0, s1, score))
+    least = lambda f, v: f((x for x in v if x is not None), default=None)
+    most = lambda v: math.nan if any(x != x for x in v if x is not None) else least(max, v)
+    sums = {k: (sum(r[0] for r in v), least(min, [r[1] for r in v]), least(max, [r[2] for r in v]), most([r[3] for r in v])) for k, v in want.items()}
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(str((*k, *v)) for k, v in sums.items() if v[0] >= 20)
+    assert out.schema["first"].dataType.simpleString() == "int" and out.schema["alignment_id"].dataType.simpleString() == "int"
