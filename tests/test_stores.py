@@ -1,12 +1,14 @@
 """Stockholm files by record, lifted queries, stored distance maps, and running totals over many ranges."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitewise.operators import running
+from sitewise.operators import running, tiles
+from sitewise.plans import stage_queries
 from sitewise.sources import maps as M
 from sitewise.sources import readers
 from sitewise.sources import stockholm as Q
@@ -193,3 +195,33 @@ def test_long_maps_make_few_folders(spark, tmp_path):
     found = {(r.i, r.j): r.dist for r in M.read_distances(spark, path, (300, 2000), (5000, 9000)).collect()}
     assert found == {k: d for k, d in want.items() if 300 <= k[0] <= 2000 and 5000 <= k[1] <= 9000}
     assert M.read_distances(spark, path).columns == ["pdb", "i", "j", "dist"]
+
+
+def test_maps_stored_in_shares(spark, monkeypatch, tmp_path):
+    """Pairs are written where they are made, in stores of bounded size that go once they are read."""
+    made, write = [], M.write_distance_map
+
+    def seen(residues, distances, path, **kw):
+        write(residues, distances, path, **kw)
+        plan = distances._jdf.queryExecution().executedPlan().toString()
+        made.append((path, spark.read.parquet(f"{path}/distances").count(), plan.split("MapInArrow")[0].count("Exchange")))
+
+    monkeypatch.setattr(M, "write_distance_map", seen)
+    monkeypatch.setattr(M, "PAIRS", 4000)
+    monkeypatch.setattr(M, "ROWS", 1000)
+    monkeypatch.setattr(tiles, "LEAST", 16)
+    monkeypatch.setattr(tiles, "RUN", 8)
+    rng = np.random.default_rng(4)
+    vectors = [(k, [float(v) for v in rng.normal(size=6)], k % 3) for k in range(400)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.chain, r.ti, r.tj): (r.n, r.least, r.most) for r in stage_queries.stored_maps(spark, str(tmp_path)).collect()}
+    want = {}
+    at = {k: np.array(v, "float32").astype(float).reshape(2, 3) for k, v, _ in vectors}
+    for i, _, chain in vectors:
+        for j in range(chain, 400, 3):
+            if i != j:
+                want.setdefault((chain, i // 64, j // 64), []).append(min(np.sqrt(((a - b) ** 2).sum()) for a in at[i] for b in at[j]))
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    assert all(abs(got[k][1] - min(v)) < 1e-6 and abs(got[k][2] - max(v)) < 1e-6 for k, v in want.items())
+    assert len(made) == 7 and sum(n for _, n, _ in made) == sum(len(v) for v in want.values()) // 2 and max(n for _, n, _ in made) < 8000
+    assert not any(os.path.exists(path.removeprefix("file:")) for path, _, _ in made) and not any(e for _, _, e in made)
